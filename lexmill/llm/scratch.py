@@ -9,13 +9,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
-_sessions: "weakref.WeakSet[Scratch]" = weakref.WeakSet()
-
-
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; set to a new local folder only where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -38,7 +34,6 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/lexmill/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        _sessions.add(self)
         _keep.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -53,6 +48,10 @@ class Scratch:
             for f in {x.rsplit("/", 1)[0] for x in t.inputFiles()}:
                 _delete(self.spark, f)
 
+    def clear(self) -> None:
+        """Delete all tables of this run."""
+        _delete(self.spark, self.path)
+
     def result(self, df: DataFrame) -> DataFrame:
         path = f"{self.path}-result"
         df.write.parquet(path)
