@@ -5,7 +5,7 @@ pair at a similarity of 0.8 shares no band with probability (1 - 0.8**5)**26 = 3
 of equal sets are one class. Candidates are verified in two rounds:
 
 1. Each band bucket's members against the bucket's smallest id (a star, linear in the bucket).
-2. Within buckets, members of different components so far. Large buckets are cut into blocks,
+2. Within buckets, members that round 1 has not shown to be connected. Large buckets are cut into blocks,
    and the pairs of blocks are dealt out, so no task holds a whole bucket and no pair is
    emitted before it has passed the signature test.
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import bytesops as B
-from lexmill.llm.graph import components
+from lexmill.llm.graph import components, labels
 from lexmill.llm.scratch import Scratch
 
 BANDS, WIDTH = 26, 5
@@ -225,8 +225,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     scratch.drop(bands)
 
     # Full sets of the documents that share a bucket.
-    wanted = scratch.table(members.select("rep").distinct(), "wanted")
-    texts = docs.join(wanted, docs.doc_id == wanted.rep, "left_semi")
+    texts = docs.join(members.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
     own = classes.select("rep", "d1", "d2")
     sets = scratch.table(texts.mapInArrow(_profiles(size, True), "doc_id long, n long, sig binary, map binary, sh binary").withColumnRenamed("doc_id", "rep"), "sets")
 
@@ -238,12 +237,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     def links(pairs: DataFrame) -> DataFrame:
         return scratch.table(attach(pairs, ["sh"]).mapInArrow(_verify(percent), "a long, b long"), "links")
 
-    stars = scratch.table(members.where("rep <> leader").selectExpr("leader AS a", "rep AS b").distinct(), "stars")
-    first = links(scratch.table(attach(stars, ["sig", "map", "n"]).mapInArrow(_prune(percent), "a long, b long"), "survivors"))
-    part = scratch.table(components(first, scratch), "first")
+    stars = members.where("rep <> leader").selectExpr("leader AS a", "rep AS b").distinct()
+    first = links(attach(stars, ["sig", "map", "n"]).mapInArrow(_prune(percent), "a long, b long"))
 
-    # Members of different components that share a bucket.
-    placed = scratch.table(members.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "members", F.coalesce("component", "rep").alias("component")), "placed")
+    # Members that share a bucket and are not known to be connected.
+    near = labels(first, scratch).withColumnRenamed("node", "rep")
+    placed = members.join(near, "rep", "left").select("bucket", "rep", "members", F.coalesce("label", "rep").alias("component"))
     mixed = scratch.table(placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"), "mixed")
     count = F.ceil(F.col("members") / BLOCK).cast("int")
     blocks = (
@@ -256,9 +255,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = blocks.repartition(partitions, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_blocks(percent), "a long, b long")
-    second = links(scratch.table(found.distinct(), "cross"))
-    joined = scratch.table(first.unionByName(second), "all-links")
-    final = scratch.table(components(joined, scratch), "components")
+    second = links(found.distinct())
+    final = components(first.unionByName(second), scratch)
 
     mapped = scratch.table(own.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id")), "mapped")
     out = rows.select("doc_id", "n", "d1", "d2").join(mapped, ["d1", "d2"], "left")
