@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import decontam, minhash, pieces, pii, quality, urls, warc
+from lexmill.llm import decontam, embeddings, minhash, pieces, pii, quality, toxicity, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, urls.HOST_RULES, urls.PATTERNS).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -50,7 +58,9 @@ def piece_model() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embeddings": op1_embeddings,
     "op2_url_filter": op2_url_filter,
+    "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
     "op6_quality": op6_quality,
     "op7_sentencepiece": op7_sentencepiece,
@@ -60,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_embeddings": embeddings.SQL,
     "op2_url_filter": urls.SQL,
     "op4_decontamination": decontam.SQL,
     "op8_pii": pii.SQL,
