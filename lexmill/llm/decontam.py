@@ -219,25 +219,17 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.size("item_ids") >= ITEMS).alias("contaminated"))
 
 
-def _cut(batches):
-    for b in batches:
-        out = []
-        for t, spans in zip(b.column("text").to_pylist(), b.column("hit_bytes").to_pylist(), strict=True):
-            if spans:
-                raw, at, parts = t.encode(), 0, []
-                for s, e in zip(spans[::2], spans[1::2], strict=True):
-                    parts.append(raw[at:s])
-                    at = e
-                t = b"".join([*parts, raw[at:]]).decode()
-            out.append(t)
-        i = b.schema.get_field_index("text")
-        yield b.set_column(i, "text", pa.array(out, pa.string()))
+#: the text without its hit bytes
+_CUT = """CASE WHEN size(hit_bytes) > 0 THEN aggregate(sequence(0, size(hit_bytes) div 2 - 1),
+  named_struct('kept', cast('' AS binary), 'at', 0),
+  (a, k) -> named_struct('kept', concat(a.kept, substring(cast(text AS binary), a.at + 1, cast(hit_bytes[2 * k] AS int) - a.at)), 'at', cast(hit_bytes[2 * k + 1] AS int)),
+  a -> cast(concat(a.kept, substring(cast(text AS binary), a.at + 1)) AS string)) ELSE text END"""
 
 
 def clean(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``docs`` without leaked text: a document with ``ITEMS`` items or more, or of whose words a share of ``coverage`` or more is hit, goes; from others the hit spans are cut."""
     found = find_leaks(docs, items).where((F.size("item_ids") < ITEMS) & (F.col("n_hit") < coverage * F.greatest("n_words", F.lit(1))))
-    cut = found.mapInArrow(_cut, found.schema).select(*docs.columns)
+    cut = found.withColumn("text", F.expr(_CUT)).select(*docs.columns)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut

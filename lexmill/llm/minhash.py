@@ -262,3 +262,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     out = rows.select("doc_id", "n", "d1", "d2").join(mapped, ["d1", "d2"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.expr("CASE WHEN doc_id IS NOT NULL THEN coalesce(component_id, doc_id) END").alias("component_id"))
     return scratch.result(out.withColumn("kept", F.expr("doc_id IS NULL OR doc_id = component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with the smallest id of each linked group, and one of rows that repeat both id and text."""
+    found = near_duplicates(docs, size, percent)
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return out
+    again = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
