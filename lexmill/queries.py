@@ -74,17 +74,17 @@ def lines_sql(tab: str, keys: str) -> str:
     return f"""split AS (SELECT {keys}, string_split(coalesce(text, ''), chr(10)) AS l FROM {tab}),
 lines AS (SELECT {keys}, i AS line, regexp_replace(l[i], chr(13) || '$', '') AS line_text,
   coalesce(list_sum(list_transform(l[1:i - 1], lambda x: strlen(x) + 1)), 0) AS line_offset
-  FROM split, unnest(range(1, len(l) + 1)) AS t(i))"""
+  FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM split))"""
 
 
 def tokens_sql(pattern: str, keep: str = "true", tab: str = "documents", keys: str = "doc_id") -> str:
     return f"""WITH {lines_sql(tab, keys)},
 k AS (SELECT *, regexp_extract_all(line_text, {q(pattern)}) AS k, string_split_regex(line_text, {q(pattern)}) AS g FROM lines),
 t AS (SELECT {keys}, line, line_offset, line_text, k[i] AS word, g, i,
-  list_sum(list_transform(g[1:i], lambda x: strlen(x))) + coalesce(list_sum(list_transform(k[1:i - 1], lambda x: strlen(x))), 0) AS at,
+  list_sum(list_transform(g[1:i], lambda x: strlen(x))) + coalesce(list_sum(list_transform(k[1:i - 1], lambda x: strlen(x))), 0) AS pos,
   list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(k[1:i - 1], lambda x: length(x))), 0) AS chars
-  FROM k, unnest(range(1, len(k) + 1)) AS u(i))
-SELECT {keys}, CAST(line AS INT) AS line, CAST(line_offset + at AS BIGINT) AS "offset", CAST(chars + 1 AS INT) AS "column", word FROM t WHERE {keep}"""
+  FROM (SELECT *, unnest(range(1, len(k) + 1)) AS i FROM k))
+SELECT {keys}, CAST(line AS INT) AS line, CAST(line_offset + pos AS BIGINT) AS "offset", CAST(chars + 1 AS INT) AS "column", word FROM t WHERE {keep}"""
 
 
 def _tokens(kind: str) -> Query:
@@ -227,7 +227,7 @@ def _skip(name: str, tab: str, key: str, column: str) -> Query:
 def skip_sql(pattern: str, tab: str, key: str, column: str, keep: str = "true", trim: str = "k[i]", lead: str = "0") -> str:
     """Matches with their byte ranges; ``trim`` cuts context from a match whose look-arounds RE2 lacks."""
     return f"""WITH m AS (SELECT {key}, regexp_extract_all({column}, {q(pattern)}) AS k, string_split_regex({column}, {q(pattern)}) AS g FROM {tab}),
-t AS (SELECT {key}, {trim} AS hit, list_sum(list_transform(g[1:i], lambda x: strlen(x))) + coalesce(list_sum(list_transform(k[1:i - 1], lambda x: strlen(x))), 0) + {lead} AS s FROM m, unnest(range(1, len(k) + 1)) AS u(i))
+t AS (SELECT {key}, {trim} AS hit, list_sum(list_transform(g[1:i], lambda x: strlen(x))) + coalesce(list_sum(list_transform(k[1:i - 1], lambda x: strlen(x))), 0) + {lead} AS s FROM (SELECT *, unnest(range(1, len(k) + 1)) AS i FROM m))
 SELECT {key}, CAST(s AS BIGINT) AS start, CAST(s + strlen(hit) AS BIGINT) AS "end" FROM t WHERE {keep}"""
 
 
@@ -264,8 +264,9 @@ def ranges_merged_rows(spark, sf):
 
 
 @query("tokens_outside_ranges", f"""{_RANGES_SQL}, k AS (SELECT page_id, regexp_extract_all(html, {q(_WORD)}) AS k, string_split_regex(html, {q(_WORD)}) AS g FROM pages),
-t AS (SELECT page_id, k[i] AS word, list_sum(list_transform(g[1:i], lambda x: strlen(x))) + coalesce(list_sum(list_transform(k[1:i - 1], lambda x: strlen(x))), 0) AS at FROM k, unnest(range(1, len(k) + 1)) AS u(i))
-SELECT page_id, word, count(*) AS n FROM t WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.page_id = t.page_id AND t.at >= m.s AND t.at < m.e) GROUP BY page_id, word""")
+e AS (SELECT page_id, unnest(k) AS word, unnest(g[1:len(k)]) AS gap, unnest(range(1, len(k) + 1)) AS i FROM k),
+t AS (SELECT page_id, word, sum(strlen(gap) + strlen(word)) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING) - strlen(word) AS pos FROM e)
+SELECT page_id, word, count(*) AS n FROM t WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.page_id = t.page_id AND t.pos >= m.s AND t.pos < m.e) GROUP BY page_id, word""")
 def tokens_outside_ranges(spark, sf):
     pages = spread(table(spark, sf, "pages").select("page_id", F.col("html").alias("text")))
     out = ranges.pattern_ranges(pages, _RANGE_PATTERNS)
@@ -352,7 +353,7 @@ _NAMES_SQL = "[" + ", ".join(q(n) for n in directives.NAMES) + "]"
 
 
 @query("directive_typos", f"""WITH {_PARSED}, n AS (SELECT doc_id, line, line_text, lower(regexp_extract(b, '^([^\\s:]*)', 1)) AS name FROM parsed WHERE kind IS NULL AND b <> ''),
-d AS (SELECT *, {_NAMES_SQL}[i] AS known, i, levenshtein(name, lower({_NAMES_SQL}[i])) AS dist FROM n, unnest(range(1, {len(directives.NAMES) + 1})) AS t(i)),
+d AS (SELECT *, {_NAMES_SQL}[i] AS known, i, levenshtein(name, lower({_NAMES_SQL}[i])) AS dist FROM (SELECT *, unnest(range(1, {len(directives.NAMES) + 1})) AS i FROM n)),
 best AS (SELECT doc_id, line, line_text, name, arg_min(known, dist * 1000 + i) AS suggestion, min(dist) AS dist FROM d GROUP BY ALL)
 SELECT doc_id, CAST(line AS INT) AS line, name, suggestion FROM best WHERE dist BETWEEN 1 AND 3""")
 def directive_typos(spark, sf):
@@ -370,7 +371,7 @@ SELECT kind, key, count(*) AS n FROM (
  UNION ALL SELECT unnest(['part', 'part_first', 'word']), a, a, b FROM w
  UNION ALL SELECT unnest(['part', 'part_last']), b, a, b FROM w
  UNION ALL SELECT 'word', b, a, b FROM w
- UNION ALL SELECT 'word', a || b, a, b FROM w UNION ALL SELECT unnest(['part', 'part_first', 'part_last', 'part_mid']), unnest, a, b FROM (SELECT a, b, unnest([a, b]) FROM w)
+ UNION ALL SELECT 'word', a || b, a, b FROM w UNION ALL SELECT unnest(['part', 'part_first', 'part_last', 'part_mid']), u, a, b FROM (SELECT a, b, unnest([a, b]) AS u FROM w)
 ) GROUP BY kind, key""".replace("e AS (SELECT DISTINCT l_returnflag || l_linestatus AS f, p_name FROM lineitem JOIN part ON p_partkey = l_partkey % 50 + 1),\n", ""))
 def dict_entries(spark, sf):
     w = table(spark, sf, "part").select(F.regexp_extract("p_name", "^[^ ]+", 0).alias("a"), F.regexp_extract("p_name", "[^ ]+$", 0).alias("b")).distinct()
@@ -415,7 +416,7 @@ def trace(spark, sf):
     return lookup.trace(bench.select(F.col("key").alias("word")), bench.unionByName(fr), dicts)
 
 
-@query("compound_two_part", f"""WITH {BENCH}, {DOC_WORDS}, w AS (SELECT DISTINCT word FROM tok), c AS (SELECT word, lower(word)[1:i] AS a, lower(word)[i + 1:] AS b FROM w, unnest(range(1, length(word))) AS t(i))
+@query("compound_two_part", f"""WITH {BENCH}, {DOC_WORDS}, w AS (SELECT DISTINCT word FROM tok), c AS (SELECT word, lower(word)[1:i] AS a, lower(word)[i + 1:] AS b FROM (SELECT *, unnest(range(1, length(word))) AS i FROM w))
 SELECT DISTINCT word FROM c WHERE a IN (SELECT key FROM bench WHERE length(key) <= 4) AND b IN (SELECT key FROM bench WHERE length(key) > 4)""")
 def compound_two_part(spark, sf):
     bench = bench_words(spark, sf)
@@ -424,15 +425,15 @@ def compound_two_part(spark, sf):
 
 
 @query("compound_join", f"""WITH RECURSIVE {BENCH}, {DOC_WORDS}, w AS (SELECT DISTINCT word, lower(word) AS low FROM tok WHERE length(word) >= 6),
-r AS (SELECT word, low, 0 AS at, 0 AS parts FROM w UNION SELECT r.word, r.low, r.at + length(b.key) AS at, r.parts + 1 FROM r JOIN bench b ON strlen(b.key) >= 3 AND r.parts < 8 AND substr(r.low, r.at + 1, length(b.key)) = b.key)
-SELECT DISTINCT word FROM r WHERE at = length(low) AND parts > 1""")
+r AS (SELECT word, low, 0 AS pos, 0 AS parts FROM w UNION SELECT r.word, r.low, r.pos + length(b.key) AS pos, r.parts + 1 FROM r JOIN bench b ON strlen(b.key) >= 3 AND r.parts < 8 AND substr(r.low, r.pos + 1, length(b.key)) = b.key)
+SELECT DISTINCT word FROM r WHERE pos = length(low) AND parts > 1""")
 def compound_join(spark, sf):
     return lookup.joined_compounds(doc_words(spark, sf).where(F.length("word") >= 6), bench_words(spark, sf))
 
 
 @query("repmap_alternatives", """WITH w AS (SELECT DISTINCT p_name AS word FROM part), p AS (SELECT * FROM (VALUES ('a', 'ä'), ('ss', 'ß'), ('e', 'é')) AS v(f, t)),
 s AS (SELECT word, f, t, string_split(word, f) AS c FROM w, p)
-SELECT DISTINCT word, array_to_string(c[1:k], f) || t || array_to_string(c[k + 1:], f) AS form FROM s, unnest(range(1, len(c))) AS u(k)""")
+SELECT DISTINCT word, replace(array_to_string(c[1:k], chr(1)), chr(1), f) || t || replace(array_to_string(c[k + 1:], chr(1)), chr(1), f) AS form FROM (SELECT *, unnest(range(1, len(c))) AS k FROM s)""")
 def repmap_alternatives(spark, sf):
     return lookup.replacement_forms(table(spark, sf, "part").select(F.col("p_name").alias("word")), [("a", "ä"), ("ss", "ß"), ("e", "é")])
 
