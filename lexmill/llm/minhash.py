@@ -225,7 +225,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     scratch.drop(bands)
 
     # Full sets of the documents that share a bucket.
-    texts = docs.join(members.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
+    # Written, so that Spark knows their size: ids of fixed width beside texts. It broadcasts them only below its threshold.
+    wanted = scratch.table(members.select("rep").distinct().coalesce(8), "wanted")
+    texts = docs.join(wanted, docs.doc_id == wanted.rep, "left_semi")
     own = classes.select("rep", "d1", "d2")
     sets = scratch.table(texts.mapInArrow(_profiles(size, True), "doc_id long, n long, sig binary, map binary, sh binary").withColumnRenamed("doc_id", "rep"), "sets")
 
@@ -267,7 +269,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with the smallest id of each linked group, and one of rows that repeat both id and text."""
     found = near_duplicates(docs, size, percent)
-    gone = found.where("NOT kept").select("doc_id").distinct()
+    gone = Scratch(docs.sparkSession, "gone").result(found.where("NOT kept").select("doc_id").distinct())
     out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
