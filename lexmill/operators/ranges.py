@@ -43,7 +43,7 @@ RANGE = "array<struct<s:bigint,e:bigint>>"
 def spans(text: Column, pattern: str) -> Column:
     """Ranges (bytes) of a pattern's matches."""
     k, g = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.transform(k, lambda m, i: F.struct(F.octet_length(F.get(g, i)).cast("bigint").alias("g"), F.octet_length(m).cast("bigint").alias("m")))
+    pairs = F.zip_with(k, F.slice(g, 1, F.size(k)), lambda m, x: F.struct(F.octet_length(x).cast("bigint").alias("g"), F.octet_length(m).cast("bigint").alias("m")))
     return F.when(F.size(k) > 0, pairs).otherwise(F.array().cast("array<struct<g:bigint,m:bigint>>"))
 
 
