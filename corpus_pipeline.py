@@ -6,8 +6,8 @@
 4. pii: spans of personal data are replaced by their kind.
 5. pieces: texts become SentencePiece ids with byte boundaries.
 
-No SQL can train the classifier or encode pieces, so ``ORACLE_SQL`` is None; ``tests/llm/test_pipeline.py`` holds each stage
-against a brute-force version.
+No SQL can train the classifier or encode pieces, so ``ORACLE_SQL`` is None. The stages' operators are
+tested one by one in ``tests/llm``; a brute-force test of the whole pipeline is still to be written.
 """
 
 from __future__ import annotations
