@@ -8,7 +8,6 @@ from lexmill.operators import dictionary, directives, edits, lookup, ranges, sug
 from lexmill.operators.checker import Checker, Config, capitals_base, possessive_base
 from lexmill.operators.dictionary import Lexicon, Options
 from lexmill.plans import compat, config, globs, patterns
-from lexmill.plans.native import check_compat, check_native
 from lexmill.sources import dictionaries, files
 
 
@@ -141,15 +140,3 @@ def test_splitter_and_compat():
     assert [(i[0], i[1], i[2], i[3]) for i in compat.check_text("hello\n é badd", c)] == [("badd", 10, 2, 4)]
     assert [i[0] for i in compat.check_text("zzyx zzyx zzyx zzyx zzyx zzyx zzyx", c)] == ["zzyx"] * 5
     assert compat.check_text("# cspell:disable\nwrold", c) == []
-
-
-TEXTS = ["hello wrold", "helloWorld HELLOs it's", "# cspell:ignore wrold\nhello wrold badd", "x http://wrold.com/badd badd", "// cspell:disable-next-line\n\nwrold\nbadd", "", None]
-
-
-def test_native_check(spark):
-    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    d = rows(spark, ["hello", "world", "error", "cspell", "disable"])
-    got = sorted((r.doc_id, r.word, r.offset, r.line, r.column) for r in check_native(docs, d, [Options("d")], Config()).collect())
-    assert got == [(0, "wrold", 6, 1, 7), (2, "badd", 34, 2, 13), (3, "badd", 24, 1, 25), (4, "badd", 38, 4, 1)]
-    other = sorted((r.doc_id, r.word, r.offset, r.line, r.column) for r in check_compat(docs, d, [Options("d")], Config()).collect())
-    assert other == got
