@@ -69,12 +69,20 @@ def two_part_compounds(words: DataFrame, dict_words: DataFrame) -> DataFrame:
     return cut.join(first, "first").join(last, ["dict", "last"], "left_semi").select("word").distinct()
 
 
+def _replace_at(cut: Column, a: str, b: str):
+    return lambda k: F.concat(F.array_join(F.slice(cut, 1, k), a), F.lit(b), F.array_join(F.slice(cut, k + 1, F.size(cut)), a))
+
+
+def _starts_in(reach: Column):
+    return lambda x: F.array_contains(reach, x["s"])
+
+
 def replacement_forms(words: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """M6: (word, form): each single replacement at each place."""
     made = []
     for a, b in pairs:
         cut = F.split("word", F.lit("\\Q" + a + "\\E"), -1)
-        made.append(F.when(F.size(cut) > 1, F.transform(F.sequence(F.lit(1), F.size(cut) - 1), lambda k, cut=cut, a=a, b=b: F.concat(F.array_join(F.slice(cut, 1, k), a), F.lit(b), F.array_join(F.slice(cut, k + 1, F.size(cut)), a)))).otherwise(F.array().cast("array<string>")))
+        made.append(F.when(F.size(cut) > 1, F.transform(F.sequence(F.lit(1), F.size(cut) - 1), _replace_at(cut, a, b))).otherwise(F.array().cast("array<string>")))
     both = F.array_sort(F.array_distinct(F.flatten(F.array(*made)))) if made else F.array().cast("array<string>")
     return words.select("word").distinct().select("word", F.explode(both).alias("form"))
 
@@ -92,7 +100,7 @@ def joined_compounds(words: DataFrame, dict_words: DataFrame, least: int = 3, de
     by = good.groupBy("word", "n").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     reach = F.array(F.lit(0))
     for _ in range(depth + 2):
-        reach = F.array_distinct(F.concat(reach, F.transform(F.filter("spans", lambda x, r=reach: F.array_contains(r, x["s"])), lambda x: x["e"])))
+        reach = F.array_distinct(F.concat(reach, F.transform(F.filter("spans", _starts_in(reach)), lambda x: x["e"])))
         by = by.withColumn("reach", reach)
         reach = F.col("reach")
     return by.where(F.array_contains("reach", F.col("n"))).select("word")

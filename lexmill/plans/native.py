@@ -53,7 +53,7 @@ def _each(words: DataFrame, dict_words: DataFrame, options: list[Options], confi
     # The dictionary is large: fetch, for each word, the rows of its substrings in any of the forms that a lookup may try.
     asked = words.select("word").distinct()
     low = F.lower(F.col("word"))
-    subs = lambda c: F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda s: F.transform(F.sequence(F.lit(1), F.length(c) - s + 1), lambda n, s=s: F.substring(c, s, n))))
+    subs = lambda c: F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda s: F.transform(F.sequence(F.lit(1), F.length(c) - s + 1), lambda n: F.substring(c, s, n))))
     keys = asked.where("word <> ''").select("word", F.explode(F.array_distinct(F.concat(subs(low), subs(F.col("word")), F.transform(lookup.forms(F.col("word")), F.lower)))).alias("key"))
     entries = keys.join(dict_words.select("dict", "kind", "key", "payload"), "key").groupBy("word").agg(F.collect_list(F.struct("dict", "kind", "key", "payload")).alias("_entries"))
 
