@@ -5,9 +5,11 @@ with a code of random directions each, and a filter is one direction from every
 is in a filter if its cosine with the combined direction exceeds a threshold. List decoding finds all
 exceeding filters from the blocks' inner products, without scoring the product of the codes. The
 threshold puts about one vector in a filter by chance, and the codes are sized so that a vector is in
-about ``FILTERS`` of them, whatever the number of vectors; a vector below ``LEAST`` lowers its own threshold.
-Vectors that link share a filter; joins on filters give the candidates. Sketches of 128
-signs drop candidates that are far apart (beyond six standard deviations).
+about ``FILTERS`` of them; a vector below half of that lowers its own threshold. Several codes with rotations of
+their own are used: ``shape`` measures how often one code misses a pair at exactly the linking cosine, for the
+length and number of the vectors (under a random rotation that holds for any such pair), and takes as many
+codes as make a miss by all of them less likely than ``MISS``. Joins on filters give the candidates.
+Sketches of 128 signs drop candidates that are far apart (beyond six standard deviations).
 
 Groups of near copies are not expanded into pairs. Equal vectors are one. A vector within half the linking
 angle of a filter's smallest id joins that id's cell, so all pairs within a cell link by the triangle
@@ -34,7 +36,10 @@ from pyspark.sql import functions as F
 from lexmill.llm.graph import components
 from lexmill.llm.scratch import Scratch
 
-PARTS, FILTERS, LEAST = 4, 32, 12
+PARTS, FILTERS, CODES = 2, 8, 8
+MISS = 1e-5
+PAIRS = 2000
+LEAST_COUNT = 4096
 SKETCH = 128
 BLOCK = 512
 MARGIN = 1e-7
@@ -58,54 +63,79 @@ def unit_rows(col: pa.Array) -> list[np.ndarray | None]:
 
 
 @cache
-def code(dim: int, size: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """(rotation, directions of each block, sketch directions) for vectors of a length."""
-    r = np.random.default_rng([dim, size, 20250102])
-    turn = np.linalg.qr(r.standard_normal((dim, dim)))[0]
+def code(dim: int, size: int, number: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(rotation, directions of each block) of a numbered code for vectors of a length."""
+    r = np.random.default_rng([dim, size, number, 20250102])
+    turn = np.linalg.qr(r.standard_normal((dim, dim)))[0] * r.choice([-1, 1], dim)
     blocks = []
     for part in np.array_split(np.arange(dim), min(PARTS, dim)):
         c = r.standard_normal((size, len(part)))
-        blocks.append(c / np.linalg.norm(c, axis=1, keepdims=True))
-    return turn, blocks, np.random.default_rng([dim, 7]).standard_normal((dim, SKETCH))
+        blocks.append(np.unique(c / np.linalg.norm(c, axis=1, keepdims=True), axis=0))
+    return turn, blocks
+
+
+@cache
+def planes(dim: int) -> np.ndarray:
+    """Sketch directions."""
+    return np.random.default_rng([dim, 7]).standard_normal((dim, SKETCH))
 
 
 def sketches(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return np.packbits(x @ planes > 0, axis=1).view(np.int64)
 
 
-def filters(x: np.ndarray, size: int, threshold: float) -> list[np.ndarray]:
-    """The filters that each unit row exceeds."""
-    dim = x.shape[1]
-    turn, blocks, _ = code(dim, size)
+def filters(x: np.ndarray, size: int, number: int, threshold: float, least: int) -> list[np.ndarray]:
+    """The filters of a code that each unit row exceeds."""
+    step = max(1, (1 << 21) // size)
+    if len(x) > step:
+        return [f for k in range(0, len(x), step) for f in filters(x[k : k + step], size, number, threshold, least)]
+    turn, blocks = code(x.shape[1], size, number)
     y = x @ turn
     scores, lo = [], 0
     for c in blocks:
         scores.append(y[:, lo : lo + c.shape[1]] @ c.T)
         lo += c.shape[1]
-    half = (len(scores) + 1) // 2
-
-    def sums(parts: list[np.ndarray], i: int) -> np.ndarray:
-        total = parts[0][i]
-        for p in parts[1:]:
-            total = (total[:, None] + p[i][None, :]).ravel()
-        return total
-
     out = []
     for i in range(len(x)):
-        a = sums(scores[:half], i)
-        b = sums(scores[half:], i) if len(scores) > 1 else np.zeros(1)
+        a = scores[0][i]
+        b = scores[1][i] if len(scores) > 1 else np.zeros(1)
         t = threshold * np.sqrt(len(scores))
-        least = min(LEAST, len(a) * len(b))
+        enough = min(least, len(a) * len(b))
         while True:
             p, q = np.flatnonzero(a >= t - b.max()), np.flatnonzero(b >= t - a.max())
             k, j = np.nonzero(a[p][:, None] + b[q][None, :] >= t)
-            if len(k) >= least:
+            if len(k) >= enough:
                 break
             t -= 0.05
         out.append(p[k].astype(np.int64) * len(b) + q[j])
     return out
 
 
+def _threshold(dim: int, count: int) -> float:
+    return NormalDist().inv_cdf(1 - 1 / count) / np.sqrt(dim)
+
+
+@cache
+def shape(dim: int, count: int, cosine: float) -> tuple[int, int, int]:
+    """(directions of a block, least filters of a vector in a code, codes) that miss a pair at the cosine less often than ``MISS``."""
+    want, size = FILTERS, 0
+    while True:
+        size = int(np.ceil((want * count) ** (1 / PARTS)))
+        if dim < 2:
+            return size, want // 2, 1
+        r = np.random.default_rng([dim, count, want])
+        x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in r.standard_normal((2, PAIRS, dim)))
+        z = z - (z * x).sum(1, keepdims=True) * x
+        y = cosine * x + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        a, b = (filters(v, size, 0, _threshold(dim, count), want // 2) for v in (x, y))
+        missed = 1 + sum(not np.intersect1d(f, g, assume_unique=True).size for f, g in zip(a, b, strict=True))
+        rate = min((missed + 3 * np.sqrt(missed)) / PAIRS, 1 - 1 / PAIRS)  # three standard errors above the measured rate
+        codes = int(np.ceil(np.log(MISS) / np.log(rate)))
+        if codes <= CODES or want >= count:
+            return size, want // 2, codes
+        want *= 2
+
+
 def _load(batches):
     for b in batches:
         rows = []
@@ -123,21 +153,23 @@ def _matrix(col, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.float64).reshape(-1, dim)
 
 
-def _filter_rows(size: int, chance: float):
+def _filter_rows(count: int, shapes: dict[int, tuple[int, int, int]]):
     def run(batches):
         for b in batches:
             dims = b.column("dim").to_numpy()
-            for d in np.unique(dims):
+            for d in np.unique(dims).tolist():
                 part = b.filter(pa.array(dims == d))
+                size, least, codes = shapes[d]
                 for k in range(0, part.num_rows, 512):
                     own = part.slice(k, 512)
-                    x = _matrix(own.column("unit"), int(d))
-                    s = sketches(x, code(int(d), size)[2])
-                    found = filters(x, size, NormalDist().inv_cdf(1 - chance) / np.sqrt(d))
-                    n = [len(f) for f in found]
-                    ids = np.concatenate(found) * np.int64(65_536) + np.int64(d % 65_536)
-                    cols = [pa.array(ids), pa.array(np.repeat(own.column("uid").to_numpy(), n)), pa.array(np.repeat(s[:, 0], n)), pa.array(np.repeat(s[:, 1], n))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["filter", "uid", "s1", "s2"])
+                    x = _matrix(own.column("unit"), d)
+                    s = sketches(x, planes(d))
+                    for number in range(codes):
+                        found = filters(x, size, number, _threshold(d, count), least)
+                        n = [len(f) for f in found]
+                        ids = (np.concatenate(found) * np.int64(codes) + number) * np.int64(65_536) + np.int64(d % 65_536)
+                        cols = [pa.array(ids), pa.array(np.repeat(own.column("uid").to_numpy(), n)), pa.array(np.repeat(s[:, 0], n)), pa.array(np.repeat(s[:, 1], n))]
+                        yield pa.RecordBatch.from_arrays(cols, names=["filter", "uid", "s1", "s2"])
 
     return run
 
@@ -238,9 +270,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     # Where rows repeat an id with another vector, the later points get ids of their own.
     turn = F.row_number().over(Window.partitionBy("low").orderBy("d1", "d2"))
     points = scratch.table(points.withColumn("uid", F.when(turn == 1, F.col("low")).otherwise(F.xxhash64("d1", "d2"))), "points")
-    count = max(4096, points.count())
-    size = int(np.ceil((FILTERS * count) ** (1 / PARTS)))
-    where = scratch.table(points.select("uid", "dim", "unit").mapInArrow(_filter_rows(size, 1 / count), "filter long, uid long, s1 long, s2 long"), "filters")
+    count = max(LEAST_COUNT, points.count())
+    shapes = {r.dim: shape(r.dim, count, cosine) for r in points.select("dim").distinct().collect()}
+    where = scratch.table(points.select("uid", "dim", "unit").mapInArrow(_filter_rows(count, shapes), "filter long, uid long, s1 long, s2 long"), "filters")
 
     def attach(pairs: DataFrame) -> DataFrame:
         for side in "ab":

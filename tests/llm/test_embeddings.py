@@ -66,3 +66,16 @@ def test_defined_cases(spark):
 
 def test_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_isolated_pairs_of_a_large_table(spark, monkeypatch):
+    """Pairs just within the linking angle that nothing else links, with codes sized for a million vectors."""
+    monkeypatch.setattr(embeddings, "LEAST_COUNT", 1_000_000, raising=False)
+    r = np.random.default_rng(11)
+    rows = []
+    for cosine in np.linspace(0.9501, 0.96, 2000):
+        x, z = (v / np.linalg.norm(v) for v in r.standard_normal((2, 64)))
+        z -= (z @ x) * x
+        rows += [x, cosine * x + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z)]
+    rows = [(i, v.tolist()) for i, v in enumerate(rows)]
+    assert found(spark, rows) == {i: (1, i - i % 2) for i, _ in rows}
