@@ -6,10 +6,10 @@ byte remembers where its source began. The library's encoder then yields pieces
 lengths tile the normalised bytes, so every piece projects to a span of the original bytes; the spans
 are contiguous and are kept as one list of boundaries.
 
-A text of more than ``PART`` characters is cut before spaces that follow another character, which is
-exact when no piece of the vocabulary holds a space mark after another character: there the
-implicit leading space of a part stands for the space it was cut at. Memory then follows the
-parts, not the text.
+A text of more than ``PART`` characters is cut before spaces (or literal space marks, which encode alike) that
+follow another character and don't end the text, which is exact when no piece of the vocabulary holds a space
+mark after another character: there the implicit leading space of a part stands for the space it was
+cut at. An empty part would have no implicit space. Memory then follows the parts, not the text.
 
 Defined cases: a null text is empty and has the end id only. Extra columns pass through; those
 called like the added columns are replaced.
@@ -17,6 +17,7 @@ called like the added columns are replaced.
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 import numpy as np
@@ -30,6 +31,7 @@ from sentencepiece import sentencepiece_model_pb2
 PART = 1 << 18
 ROWS = 256
 MARK = "▁".encode()
+_CUT = re.compile("(?<![ ▁])[ ▁](?=.)", re.DOTALL)
 
 
 class Trie:
@@ -158,14 +160,9 @@ class Model:
 def cut(text: str) -> list[str]:
     """Parts of about ``PART`` characters or more; the space that each but the first was cut at is left out."""
     parts, at = [], 0
-    while len(text) - at > PART:
-        k = text.find(" ", at + PART)
-        while k > 0 and text[k - 1] == " ":
-            k = text.find(" ", k + 1)
-        if k < 0:
-            break
-        parts.append(text[at:k])
-        at = k + 1
+    while len(text) - at > PART and (hit := _CUT.search(text, at + PART)):
+        parts.append(text[at : hit.start()])
+        at = hit.end()
     return [*parts, text[at:]]
 
 

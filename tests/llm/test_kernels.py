@@ -98,6 +98,16 @@ def test_pieces_match_the_library(monkeypatch):
         assert at[0] == 0 and at[-1] == len(t.encode()) and (np.diff(at) >= 0).all()
 
 
+def test_parts_of_texts_that_end_in_a_space_or_hold_space_marks(monkeypatch):
+    m = model()
+    texts = ["word\n" * 20 + " ", "x" * 40 + " ", "x" * 40 + "  ", "word▁ word " * 9, "word ▁word" * 9, "word▁word" * 9 + "▁", "▁ " * 20, "a" * 15 + "▁ b" + "c" * 30, "a" * 16 + " "]
+    want = m.library.encode(texts, add_eos=True)
+    monkeypatch.setattr(pieces, "PART", 16)
+    assert m.encode(texts) == want
+    for t, ids in zip(texts, want, strict=True):
+        assert m.boundaries(t, np.array(ids))[-1] == len(t.encode())
+
+
 def test_longest_prefix_normaliser_matches_the_library():
     import sentencepiece
 
