@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 from lexmill.functions import chars, text
 from lexmill.operators import directives, lookup, ranges, suggest, tokens
 from lexmill.operators.checker import Checker, Config
-from lexmill.operators.dictionary import Options, lexicons
+from lexmill.operators.dictionary import Options, key_of, lexicons
 from lexmill.plans import compat, patterns
 
 #: Above this many dictionary rows, words travel with the rows that concern them instead of meeting a broadcast dictionary.
@@ -34,6 +36,28 @@ def _dictionary(dict_words: DataFrame) -> tuple[list | None, DataFrame]:
     return (None if rows is None else [tuple(r) for r in rows]), dict_words
 
 
+def _spellings(w: str) -> set[str]:
+    n = unicodedata.normalize("NFC", w)
+    return {w, n, w.lower(), n.lower(), chars.ascii_lower(w), key_of(w), key_of(w, True)}
+
+
+def _substrings(w: str) -> set[str]:
+    return {w[i:j] for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
+
+
+def probes(word: str, pairs: list[tuple[str, str]]) -> set[str]:
+    """The keys that the kernel may look up for a word: of each form, as it is and with one replacement of ``pairs``, all substrings in NFC and folded."""
+    out: set[str] = set()
+    for form in {word, word.replace("’", "'"), word.replace("\\", "")}:
+        # Parts of a form compose and fold like the whole, but for cuts between a letter and its mark and for the final sigma.
+        alike = unicodedata.normalize("NFC", form) == form and "Σ" not in form
+        for v in {v for w in ([form] if alike else _substrings(form)) for v in _spellings(w)}:
+            made = {v} | {v[:k] + b + v[k + len(a) :] for a, b in pairs if a for k in range(len(v)) if v.startswith(a, k)}
+            for x in {x for m in made for x in _substrings(m)}:
+                out |= _spellings(x)
+    return out - {""}
+
+
 def _each(words: DataFrame, dict_words: DataFrame, options: list[Options], config: Config, decide, schema: str, column: str, kind: pa.DataType) -> DataFrame:
     """``words`` with a column decided by the kernel ``decide(checker, row)``."""
     rows, _ = _dictionary(dict_words)
@@ -50,11 +74,16 @@ def _each(words: DataFrame, dict_words: DataFrame, options: list[Options], confi
 
         return words.mapInArrow(run, out)
 
-    # The dictionary is large: fetch, for each word, the rows of its substrings in any of the forms that a lookup may try.
-    asked = words.select("word").distinct()
-    low = F.lower(F.col("word"))
-    subs = lambda c: F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda s: F.transform(F.sequence(F.lit(1), F.length(c) - s + 1), lambda n: F.substring(c, s, n))))
-    keys = asked.where("word <> ''").select("word", F.explode(F.array_distinct(F.concat(subs(low), subs(F.col("word")), F.transform(lookup.forms(F.col("word")), F.lower)))).alias("key"))
+    # The dictionary is large: fetch, for each word, the rows of all keys that a lookup may try.
+    pairs = [p for o in options for p in o.rep_map]
+
+    def run_keys(batches):
+        for b in batches:
+            for w in b.column("word").to_pylist():
+                own = sorted(probes(w, pairs))
+                yield pa.RecordBatch.from_arrays([pa.array([w] * len(own), pa.string()), pa.array(own, pa.string())], names=["word", "key"])
+
+    keys = words.where("word <> ''").select("word").distinct().mapInArrow(run_keys, "word string, key string")
     entries = keys.join(dict_words.select("dict", "kind", "key", "payload"), "key").groupBy("word").agg(F.collect_list(F.struct("dict", "kind", "key", "payload")).alias("_entries"))
 
     def run_wide(batches):

@@ -140,3 +140,23 @@ def test_splitter_and_compat():
     assert [(i[0], i[1], i[2], i[3]) for i in compat.check_text("hello\n é badd", c)] == [("badd", 10, 2, 4)]
     assert [i[0] for i in compat.check_text("zzyx zzyx zzyx zzyx zzyx zzyx zzyx", c)] == ["zzyx"] * 5
     assert compat.check_text("# cspell:disable\nwrold", c) == []
+
+
+def test_wide_lookups_equal_broadcast_ones(spark, monkeypatch):
+    import pyarrow as pa
+
+    from lexmill.plans import native
+
+    options = [Options("d", rep_map=[("ss", "ß"), ("a", "ä")]), Options("c", case_sensitive=True, configured=True, use_compounds=True, rep_map=[("e", "é")])]
+    entries = rows(spark, ["straße", "café", "don't", "käse", "größe", "plain"]).unionByName(rows(spark, ["Été", "wort", "Café"], name="c")).unionByName(rows(spark, ["foo"], "part_first")).unionByName(rows(spark, ["bär"], "part_last")).unionByName(rows(spark, ["übel"], "forbidden"))
+    asked = ["strasse", "Strasse", "cafe\u0301", "CAFE\u0301s", "don’t", "don\\\\'t", "kase", "Kasex", "foobar", "GRÖSSE", "grösse", "U\u0308bel", "Eté", "ete", "plainCase", "wortwort", "wrong", "STRASSEs"]
+    words = spark.createDataFrame([(w, False, False, False, None, None, None) for w in asked], "word string, escaped boolean, compound boolean, case_sensitive boolean, extra array<string>, inline array<string>, flags array<string>")
+
+    def decided():
+        got = native._each(words, entries, options, Config(), native._decide, native.PARTS, "parts", native._PARTS)
+        return {r.word: [tuple(p) for p in r.parts] for r in got.collect()}
+
+    want = decided()
+    assert want["strasse"] == [] and want["cafe\u0301"] == [] and want["foobar"] == [] and want["wrong"]
+    monkeypatch.setattr(native, "BROADCAST_ROWS", 0)
+    assert decided() == want
