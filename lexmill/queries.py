@@ -292,7 +292,13 @@ for _p, _r in ((r"[0-9]+", "0"), (r"\p{Ll}\p{M}+", "a"), (r"\p{Lu}\p{M}+", "A"),
 
 @query("random_strings", f"WITH t AS (SELECT DISTINCT unnest(string_split_regex(text, '\\s+')) AS word FROM documents) SELECT word, {_SHAPE} AS shape, length(word) >= 16 AND strlen({_SHAPE}) / length(word) >= 0.5 AS random FROM t WHERE length(word) >= 12 AND length(word) = strlen(word)")
 def random_strings(spark, sf):
-    words = spread(table(spark, sf, "documents").select("text")).select(F.explode(F.split("text", r"\s+")).alias("word")).where((F.length("word") >= 12) & text.is_ascii("word")).distinct()
+    """Of ASCII tokens of twelve characters or more, which its twin can follow; ``random_strings_all`` has all tokens."""
+    return random_strings_all(spark, sf).where((F.length("word") >= 12) & text.is_ascii("word"))
+
+
+@query("random_strings_all")
+def random_strings_all(spark, sf):
+    words = spread(table(spark, sf, "documents").select("text")).select(F.explode(F.split("text", r"\s+")).alias("word")).distinct()
     return words.select("word", text.categories("word").alias("shape"), text.is_random("word", 16).alias("random"))
 
 
@@ -428,7 +434,14 @@ def compound_two_part(spark, sf):
 r AS (SELECT word, low, 0 AS pos, 0 AS parts FROM w UNION SELECT r.word, r.low, r.pos + length(b.key) AS pos, r.parts + 1 FROM r JOIN bench b ON strlen(b.key) >= 3 AND r.parts < 8 AND substr(r.low, r.pos + 1, length(b.key)) = b.key)
 SELECT DISTINCT word FROM r WHERE pos = length(low) AND parts > 1""")
 def compound_join(spark, sf):
-    return lookup.joined_compounds(doc_words(spark, sf).where(F.length("word") >= 6), bench_words(spark, sf))
+    """Of words of six characters or more, as its twin; ``compound_join_all`` has all words."""
+    return compound_join_all(spark, sf).where(F.length("word") >= 6)
+
+
+@query("compound_join_all")
+def compound_join_all(spark, sf):
+    """Two parts have three bytes each at least."""
+    return lookup.joined_compounds(doc_words(spark, sf).where(F.octet_length(F.lower("word")) >= 6), bench_words(spark, sf))
 
 
 @query("repmap_alternatives", """WITH w AS (SELECT DISTINCT p_name AS word FROM part), p AS (SELECT * FROM (VALUES ('a', 'ä'), ('ss', 'ß'), ('e', 'é')) AS v(f, t)),
@@ -509,8 +522,17 @@ def file_types(spark, sf):
 @query("path_sort", f"""WITH {_PATHS}, d AS (SELECT DISTINCT path FROM p WHERE length(path) = strlen(path))
 SELECT path, row_number() OVER (ORDER BY translate(lower(path), '_-./\\', chr(1) || chr(2) || chr(3) || chr(4) || chr(4)), length(path), translate(path, '{chars.UPPER_ASCII}{chars.LOWER_ASCII}', '{chars.LOWER_ASCII}{chars.UPPER_ASCII}')) AS place FROM d""")
 def path_sort(spark, sf):
+    """Of ASCII paths, which its twin can follow; ``path_sort_all`` has all paths."""
+    return _places(paths(spark, sf).select("path").where(text.is_ascii("path")).distinct())
+
+
+@query("path_sort_all")
+def path_sort_all(spark, sf):
+    return _places(paths(spark, sf).select("path").distinct())
+
+
+def _places(own: DataFrame) -> DataFrame:
     """Places in collation order: by ranges and counts of the ranges before, so that no task holds all paths."""
-    own = paths(spark, sf).select("path").where(text.is_ascii("path")).distinct()
     keys = {f"_k{i}": k for i, k in enumerate(text.path_key("path"))}
     sorted_ = own.withColumns(keys).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
     from pyspark.sql import Window
@@ -561,7 +583,17 @@ def decoded_files(spark, sf):
 @query("disable_lines", f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE NOT ends_with(text, chr(10)) AND text <> '')
 SELECT doc_id, md5(array_to_string(list_concat([regexp_extract(l[1], '^(\\s*)', 1) || '# spell-checker:disable-next-line'], l), chr(10))) AS md5 FROM s""")
 def disable_lines(spark, sf):
-    docs = table(spark, sf, "documents").where("NOT endswith(text, '\\n') AND text <> ''").select(F.concat("doc_id", F.lit(".py")).alias("path"), "text")
+    """Of texts that end within a line, as its twin; ``disable_lines_all`` has all documents."""
+    return _disabled(table(spark, sf, "documents").where("NOT endswith(text, '\\n') AND text <> ''"))
+
+
+@query("disable_lines_all")
+def disable_lines_all(spark, sf):
+    return _disabled(table(spark, sf, "documents"))
+
+
+def _disabled(docs: DataFrame) -> DataFrame:
+    docs = docs.select(F.concat("doc_id", F.lit(".py")).alias("path"), "text")
     got = edits.disable_lines(docs, docs.select("path", F.lit(1).alias("line")))
     return got.select(F.regexp_extract("path", r"^(\d+)", 1).cast("bigint").alias("doc_id"), F.md5("text").alias("md5"))
 

@@ -160,3 +160,42 @@ def test_wide_lookups_equal_broadcast_ones(spark, monkeypatch):
     assert want["strasse"] == [] and want["cafe\u0301"] == [] and want["foobar"] == [] and want["wrong"]
     monkeypatch.setattr(native, "BROADCAST_ROWS", 0)
     assert decided() == want
+
+
+def test_queries_over_all_rows(spark, tmp_path):
+    import hashlib
+
+    import regex
+
+    from lexmill.queries import QUERIES
+
+    texts = ["aB1cD2eF3gH4iJ5kL6 éÀ1éÀ2éÀ3éÀ4éÀ5éÀ6 short straßen-ñandú_Ünïcödé", "", "  indented\nlast\n", "\n", "тестслово ééé abcdef äöüéàè abc äöü éééabc x", None]
+    paths = ["http://a.org/b_c", "http://a.org/Ünder", "http://a.org/under", "http://a.org/ünder", "http://a.org/B-c", "http://a.org/é_x", "http://a.org/é.x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7 * k + 5, u) for k, u in enumerate(paths)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(1, "abc def ééé äö ü éà è тест слово éü")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    run = lambda name: [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+
+    def shape(w):
+        for pattern, mark in ((r"[0-9]+", "0"), (r"\p{Ll}\p{M}+", "a"), (r"\p{Lu}\p{M}+", "A"), (r"\p{Lu}?\p{Ll}+", "1"), (r"\p{Lu}+", "2"), (r"\p{M}", "4"), ("_", ""), (r"[-_.']+", "3")):
+            w = regex.sub(pattern, mark, w)
+        return w
+
+    tokens_ = {w for t in texts if t is not None for w in regex.split(r"[ \n]+", t)}
+    assert set(run("random_strings_all")) == {(w, shape(w), len(w) >= 16 and len(shape(w).encode()) / len(w) >= 0.5) for w in tokens_}
+    bench = {"abc", "def", "ééé", "äö", "ü", "éà", "è", "тест", "слово", "éü"}
+    words = {w for t in texts if t for w in chars.PY_WORDS.findall(t)}
+    want = {w for w in words if dictionary.joins(w.lower(), lambda p: p in bench, 3, lambda p: len(p.encode()))}
+    assert {"тестслово", "abcdef", "éééabc"} <= want and {w for (w,) in run("compound_join_all")} == want
+    fold = str.maketrans("_-./\\", "\x01\x02\x03\x04\x04")
+    own = [u[7:] for u in paths]
+    order = sorted(own, key=lambda p: (p.lower().translate(fold) if p.isascii() else p.lower(), len(p), "".join(c.swapcase() if c.isascii() else c for c in p)))
+    assert dict(run("path_sort_all")) == {p: k + 1 for k, p in enumerate(order)}
+
+    def disabled(t):
+        lines = t.splitlines()
+        if lines:
+            lines.insert(0, lines[0][: len(lines[0]) - len(lines[0].lstrip())] + "# spell-checker:disable-next-line")
+        return "\n".join(lines) + ("\n" if t.endswith("\n") else "")
+
+    assert dict(run("disable_lines_all")) == {k: None if t is None else hashlib.md5(disabled(t).encode()).hexdigest() for k, t in enumerate(texts)}
