@@ -3,9 +3,10 @@
 Language model: counts of letter triples (26 letters, one class for other letters, one for the word's edge)
 over the whole texts of all documents, interpolated with pairs and single letters.
 
-Channel: tokens with digits or symbols among their letters, letters repeated three times or more,
-and rows of single letters are lattices. Each input character stands for itself, for the letters it
-resembles (``LEET``), or for nothing; a run of one letter stands for one or two of it. The
+Channel: tokens with digits or symbols beside their letters, tokens with repeated letters, rows of single letters, and
+neighbours that the language model would rather read as one word are lattices. Each input character stands for
+itself, for the letters it resembles (``LEET``), or for nothing; a run of one letter stands for one or two of it;
+a space stands for nothing or for the edge between two words. The
 Viterbi path of least channel cost plus language-model cost is the restored text, which is
 scored along with the original. Other tokens are their own restoration.
 
@@ -55,6 +56,10 @@ _CLASS[LETTER] = OTHER
 for _c in range(26):
     _CLASS[65 + _c] = _CLASS[97 + _c] = _c
 _CONTINUED = B.table_of(bytes(range(128, 192)))
+_READ = B.table_of("".join(c for c, letters in LEET.items() if ord(c) < 128 and letters).encode())
+_READING = _CLASS.copy()
+for _c in np.flatnonzero(_READ):
+    _READING[_c] = ord(LEET[chr(_c)][0]) - 97
 
 
 # Language model
@@ -83,11 +88,15 @@ class LanguageModel:
         p1 = (n1 + 1) / (n1 + 1).sum()
         p2 = (n2 + 5 * p1) / (n2.sum(1, keepdims=True) + 5)
         p3 = (n3 + 5 * p2) / (n3.sum(2, keepdims=True) + 5)
-        self.cost = (-np.log(p3)).tolist()
+        # a word's first letter: the triples leave it out, those behind it count it
+        first = n3[EDGE, :EDGE].sum(1)
+        p3[:, EDGE, :EDGE] = (first + 5 * p1[:EDGE]) / (first.sum() + 5)
+        self.table = -np.log(p3)
+        self.cost = self.table.tolist()
 
 
 def _class(ch: str) -> int:
-    return ord(ch) - 97 if "a" <= ch <= "z" else OTHER
+    return ord(ch) - 97 if "a" <= ch <= "z" else EDGE if ch == " " else OTHER
 
 
 def options(text: str) -> list[list[tuple[str, float]]]:
@@ -111,6 +120,8 @@ def options(text: str) -> list[list[tuple[str, float]]]:
             if n > 1:
                 reads += [(x * 2, price * 1.5) for x in letters]
             reads.append(("", SEPARATOR if ch in _SEPARATORS else DROP))
+            if ch == " ":
+                reads.append((" ", SEPARATOR))
         out.append(reads)
         i = j
     return out
@@ -140,30 +151,66 @@ def viterbi(text: str, lm: LanguageModel) -> str:
     return "".join(reversed(parts))
 
 
-def suspicious(data: np.ndarray, at: np.ndarray) -> list[tuple[int, str]]:
-    """(row, obfuscated text) of the spans of a slice that need restoring."""
+def suspicious(data: np.ndarray, at: np.ndarray, lm: LanguageModel | None = None) -> list[tuple[int, str]]:
+    """(row, obfuscated text) of the spans of a slice that need restoring; split words are found by ``lm``."""
     s, e, row = B.words(data, at, B.NOT_SPACE)
     if not len(s):
         return []
     low = B.LOWER[data]
     letter = LETTER[data]
-    flag = np.zeros(len(data), bool)
+    flag, maybe = np.zeros(len(data), bool), np.zeros(len(data), bool)
     flag[:-1] |= _LEET[data[:-1]] & letter[1:]
-    flag[1:] |= _DIGIT[data[1:]] & letter[:-1]
-    if len(data) > 2:
-        flag[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & (data[:-2] < 128)
-    hits = np.unique(np.searchsorted(s, np.flatnonzero(flag), "right") - 1)
-    hits = hits[hits >= 0]
+    flag[1:] |= _READ[data[1:]] & letter[:-1]
+    flag[:-1] |= letter[:-1] & (low[:-1] == low[1:]) & (data[:-1] < 128)
+    flag[:-1] |= (data[:-1] == 0xC2) & (data[1:] == 0xA3)  # the pound sign
+    flag[:-2] |= (data[:-2] == 0xE2) & (data[1:-1] == 0x82) & (data[2:] == 0xAC)  # the euro sign
+    maybe[:-1] |= _CONTINUED[data[:-1]] & (data[1:] >= 0xC0)  # two characters beyond ASCII, perhaps equal
     raw = data.tobytes()
-    found = [(int(row[k]), raw[s[k] : e[k]].decode("utf-8", "replace").lower()) for k in hits if letter[s[k] : e[k]].any()]
+
+    def token(k: int) -> str:
+        return raw[s[k] : e[k]].decode("utf-8", "replace").lower()
+
+    def tokens(marks: np.ndarray) -> np.ndarray:
+        k = np.unique(np.searchsorted(s, np.flatnonzero(marks), "right") - 1)
+        return k[k >= 0]
+
+    hits = tokens(flag)
+    twice = [k for k in np.setdiff1d(tokens(maybe), hits) if _TWICE.search(token(k))]
+    letters = np.concatenate([[0], np.cumsum(letter)])
+    found = [(int(row[k]), token(k)) for k in sorted([*hits, *twice]) if letters[e[k]] > letters[s[k]]]
     single = _single(data, s, e)
-    edge = np.flatnonzero(np.concatenate([[True], (single[1:] != single[:-1]) | (row[1:] != row[:-1]), [True]]))
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        if single[a] and b - a >= 4:
-            found.append((int(row[a]), " ".join(raw[s[k] : e[k]].decode("utf-8", "replace").lower() for k in range(a, b))))
+    link = single[1:] & single[:-1]
+    if lm is not None:
+        link |= _split(data, s, e, letters, lm)
+    link &= row[1:] == row[:-1]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], link, [False]]).astype(np.int8)))
+    for a, b in zip(edge[::2], edge[1::2] + 1, strict=True):
+        if b - a >= 4 or letters[e[b - 1]] > letters[s[a]]:
+            found.append((int(row[a]), " ".join(token(k) for k in range(a, b))))
     return found
 
 
+_TWICE = re.compile(r"([^\W\d_])\1")
+
+
+def _split(data: np.ndarray, s: np.ndarray, e: np.ndarray, letters: np.ndarray, lm: LanguageModel) -> np.ndarray:
+    """Whether a token and the next one cost less as one word than as two."""
+    own = ~_CONTINUED[data]
+    c = _READING[data[own]]
+    n = np.concatenate([[0], np.cumsum(own)])
+    a, b = n[s], n[e]
+    size = b - a
+    ok = (letters[e] > letters[s]) & (size > 0)
+    last, first = c[np.maximum(b - 1, 0)], c[np.minimum(a, len(c) - 1)]
+    before = np.where(size > 1, c[np.maximum(b - 2, 0)], EDGE)
+    after = np.where(size > 1, c[np.minimum(a + 1, len(c) - 1)], EDGE)
+    x, y, z, w = before[:-1], last[:-1], first[1:], after[1:]
+    t = lm.table
+    one = t[x, y, z] + t[y, z, w]
+    two = t[x, y, EDGE] + t[y, EDGE, z] + t[EDGE, z, w]
+    return ok[:-1] & ok[1:] & (y != EDGE) & (z != EDGE) & (one < two)
+
+
 def _single(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Whether a token is one letter or one character that may stand for a letter, perhaps with a mark behind."""
     n = e - s
@@ -186,7 +233,7 @@ def _restorer(lm: LanguageModel | None):
     def rows(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, row) of the restored words of a slice, each followed by a space."""
         parts, own = [], []
-        for r, t in suspicious(data, at):
+        for r, t in suspicious(data, at, lm):
             for w in kept(t) if len(t) < 200 else restore(t, lm):
                 b = w.encode() + b" "
                 parts.append(b)

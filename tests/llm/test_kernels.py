@@ -69,6 +69,21 @@ def test_noisy_channel():
     assert [r for r, _ in toxicity.suspicious(d, a)] == [1, 2]
 
 
+def test_noisy_channel_of_doubled_split_and_spaced_words():
+    words = ("stupid idiot moron trass the and of thing inside students " * 50).split()
+    lm = toxicity.LanguageModel(toxicity.triples(*B.buffer(pa.array([" ".join(words)]))))
+
+    def restored(text):
+        parts, rows = toxicity._restorer(lm)(*B.buffer(pa.array(["the thing", text])))
+        return {p.decode().strip() for p, r in zip(parts, rows, strict=True) if r == 1}
+
+    for text, want in (("iddiot", "idiot"), ("mmoron", "moron"), ("sttupid", "stupid"), ("tra$$", "trass"), ("th€", "the"), ("the id iot", "idiot"), ("mo ron and", "moron"), ("moro n", "moron"), ("stu pid thing", "stupid"), ("t h e", "the"), ("o f", "of"), ("stuuupid", "stupid")):
+        assert want in restored(text), text
+    assert {"stupid", "idiot", "the"} <= restored("s t u p i d i d i o t t h e")
+    assert restored("ÉéÉ")
+    assert restored("the idiot of students inside") == set()
+
+
 def test_statistics_of_odd_texts():
     x = quality._of_column(pa.array(["", None, "A", "word " * 50_000, "é\n\n!!"], pa.string()))
     assert x.shape == (5, len(quality.NAMES)) and np.isfinite(x).all() and (x[0] == x[1]).all()
