@@ -2,14 +2,15 @@
 
 ``Normaliser`` applies a model's compiled character map: at each position the longest prefix
 found in its double-array trie is replaced, else one character is copied. Each normalised
-byte remembers where its source began. The library's encoder then yields pieces whose
-lengths tile the normalised bytes, so every piece projects to a span of the original bytes; the spans
-are contiguous and are kept as one list of boundaries.
+byte remembers where its source began. The normalised text, not the source, is encoded, by a copy of the model
+whose own normaliser is switched off. The pieces' lengths tile the normalised bytes, so every piece projects to a
+span of the original bytes; the spans are contiguous and are kept as one list of boundaries.
 
-A text of more than ``PART`` characters is cut before spaces (or literal space marks, which encode alike) that
-follow another character and don't end the text, which is exact when no piece of the vocabulary holds a space
-mark after another character: there the implicit leading space of a part stands for the space it was
-cut at. An empty part would have no implicit space. Memory then follows the parts, not the text.
+A normalised text of more than ``PART`` characters is encoded in parts. It is cut only between two characters that
+stand side by side in no piece of the vocabulary: no merge can cross such a place, so the parts' pieces are
+those of the whole text. Without such a place the text stays whole. This holds for BPE; texts of other kinds of model stay whole.
+Rows are taken in slices of about ``SLICE`` bytes, so Python objects live for one slice; a longer
+text has its source, its normalised bytes and four bytes a normalised byte in memory, beside one part's pieces.
 
 Defined cases: a null text is empty and has the end id only. Extra columns pass through; those
 called like the added columns are replaced.
@@ -17,7 +18,7 @@ called like the added columns are replaced.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -28,10 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
-PART = 1 << 18
-ROWS = 256
+from lexmill.llm import bytesops as B
+
+PART = 1 << 17
+SLICE = 1 << 20
+#: rows that ``decode`` takes at a time
+DECODED = 256
 MARK = "▁".encode()
-_CUT = re.compile("(?<![ ▁])[ ▁](?=.)", re.DOTALL)
+#: kinds of a piece in a model
+_UNKNOWN, _CONTROL, _SYMBOL, _BYTE = 2, 3, 4, 6
+_BPE = 2
 
 
 class Trie:
@@ -65,27 +72,32 @@ class Trie:
 
 
 class Normaliser:
-    def __init__(self, spec, symbols: list[str] = ()):
+    """``spec``: the model's normaliser; ``symbols``: its user-defined pieces, which are copied as they are."""
+
+    def __init__(self, spec, symbols: list[str] = (), suffix: bool = False):
         self.trie = Trie(spec.precompiled_charsmap) if spec.precompiled_charsmap else None
-        self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
+        self.squeeze = spec.remove_extra_whitespaces
         self.space = MARK if spec.escape_whitespaces else b" "
+        self.before = self.space if spec.add_dummy_prefix and not suffix else b""
+        self.behind = self.space if spec.add_dummy_prefix and suffix else b""
         self.symbols = sorted((s.encode() for s in symbols), key=len, reverse=True)
 
     def plain(self) -> bool:
+        """Whether nothing but spaces changes."""
         return self.trie is None and not self.squeeze and not self.symbols
 
     def __call__(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and the source position of each of them and of their end."""
         if not data:
-            return b"", np.zeros(1, np.int64)
+            return b"", np.zeros(1, np.int32)
         return self._fast(data) if self.plain() else self._slow(data)
 
     def _fast(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        width = np.ones(len(data), np.int64)
+        width = np.ones(len(data), np.int8)
         width[np.frombuffer(data, np.uint8) == 32] = len(self.space)
-        at = np.repeat(np.arange(len(data)), width)
-        lead = self.space if self.prefix else b""
-        return lead + data.replace(b" ", self.space), np.concatenate([np.zeros(len(lead), np.int64), at, [len(data)]])
+        at = np.repeat(np.arange(len(data), dtype=np.int32), width)
+        edges = np.zeros(len(self.before), np.int32), at, np.full(len(self.behind) + 1, len(data), np.int32)
+        return self.before + data.replace(b" ", self.space) + self.behind, np.concatenate(edges)
 
     def _step(self, data: bytes, at: int) -> tuple[int, bytes]:
         for s in self.symbols:
@@ -106,10 +118,9 @@ class Normaliser:
                     break
                 i += n
             if i == len(data):
-                return b"", np.array([i])
-        if self.prefix:
-            out += self.space
-            at += [i] * len(self.space)
+                return b"", np.array([i], np.int32)
+        out += self.before
+        at += [i] * len(self.before)
         blank = self.squeeze
         while i < len(data):
             n, text = self._step(data, i)
@@ -126,65 +137,94 @@ class Normaliser:
             while out.endswith(self.space):
                 i = at[len(out) - len(self.space)]
                 del out[-len(self.space) :], at[-len(self.space) :]
-        return bytes(out), np.array([*at, i])
+        out += self.behind
+        at += [i] * len(self.behind)
+        return bytes(out), np.array([*at, i], np.int32)
 
 
 class Model:
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            blob = f.read()
+    def __init__(self, blob: bytes):
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(blob)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=blob)
-        self.normalise = Normaliser(proto.normalizer_spec, [p.piece for p in proto.pieces if p.type == 4])
-        self.width = np.array([1 if p.type == 6 else 0 if p.type == 3 else len(p.piece.encode()) for p in proto.pieces], np.int64)
-        self.parts = self.normalise.plain() and self.normalise.prefix and not any("▁" in p.piece.lstrip("▁") for p in proto.pieces)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, the end id last, as the library's encode(add_eos=True)."""
-        long = [k for k, t in enumerate(texts) if len(t) > PART] if self.parts else []
-        ids = self.library.encode(["" if k in set(long) else t for k, t in enumerate(texts)] if long else texts, add_eos=True, num_threads=1)
-        for k in long:
-            ids[k] = [i for p in cut(texts[k]) for i in self.library.encode(p)] + [self.library.eos_id()]
-        return ids
-
-    def boundaries(self, text: str, ids: np.ndarray) -> np.ndarray:
-        """Byte boundaries of the pieces in the original text: piece i is bytes [b[i], b[i + 1])."""
-        norm, at = self.normalise(text.encode())
-        ends = np.concatenate([[0], np.cumsum(self.width[ids])])
-        if ends[-1] != len(norm):
-            raise ValueError("the pieces don't tile the normalised text")
-        return at[ends]
-
-
-def cut(text: str) -> list[str]:
-    """Parts of about ``PART`` characters or more; the space that each but the first was cut at is left out."""
-    parts, at = [], 0
-    while len(text) - at > PART and (hit := _CUT.search(text, at + PART)):
-        parts.append(text[at : hit.start()])
-        at = hit.end()
-    return [*parts, text[at:]]
+        pieces = [(p.piece, p.type) for p in proto.pieces]
+        self.normalise = Normaliser(proto.normalizer_spec, [p for p, kind in pieces if kind == _SYMBOL], proto.trainer_spec.treat_whitespace_as_suffix)
+        self.width = np.array([1 if kind == _BYTE else 0 if kind == _CONTROL else len(p.encode()) for p, kind in pieces], np.int32)
+        self.pairs = {p[k : k + 2] for p, _ in pieces for k in range(len(p) - 1)} if proto.trainer_spec.model_type == _BPE else None
+        #: an unknown piece is as long as what it stands for
+        self.unknown = None if proto.trainer_spec.byte_fallback else {k for k, (_, kind) in enumerate(pieces) if kind == _UNKNOWN}
+        off = proto.normalizer_spec
+        off.precompiled_charsmap, off.name = b"", "identity"
+        off.add_dummy_prefix = off.remove_extra_whitespaces = off.escape_whitespaces = False
+        self.bare = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+        self.end = np.array([self.library.eos_id()], np.int32)
+
+    def cut(self, text: str) -> list[str]:
+        """Parts of ``PART`` characters or more of a normalised text, none cut where a piece may stand."""
+        parts, at, k = [], 0, PART
+        while k < len(text):
+            if self.pairs is not None and text[k - 1 : k + 1] not in self.pairs:
+                parts.append(text[at:k])
+                at, k = k, k + PART
+            else:
+                k += 1
+        return [*parts, text[at:]]
+
+    def _pieces(self, texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, widths in bytes) of normalised texts."""
+        for ids in self.bare.encode(texts, num_threads=1):
+            x = np.array(ids, np.int32)
+            yield x, self.width[x]
+
+    def _named(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for models with unknown pieces."""
+        for t in texts:
+            x = np.array(self.bare.encode(t), np.int32)
+            names = self.bare.encode(t, out_type=str)
+            yield x, np.array([len(p.encode()) if int(i) in self.unknown else self.width[i] for i, p in zip(x, names, strict=True)], np.int32)
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text its ids, the end id last, and the boundaries of the pieces: piece i is bytes [b[i], b[i + 1]) of the original text."""
+        known = self._pieces if self.unknown is None else self._named
+        normal = [self.normalise(t.encode()) for t in texts]
+        short = [k for k, (n, _) in enumerate(normal) if len(n) <= PART]
+        held = dict(zip(short, known([normal[k][0].decode() for k in short]), strict=True)) if short else {}
+        out = []
+        for k, (norm, at) in enumerate(normal):
+            if k in held:
+                ids, width = held.pop(k)
+            else:
+                found = [next(iter(known([p]))) for p in self.cut(norm.decode())]
+                ids, width = (np.concatenate(x) for x in zip(*found, strict=True))
+            ends = np.zeros(len(ids) + 2, np.int32)
+            np.cumsum(width, out=ends[1:-1])
+            ends[-1] = ends[-2]
+            if ends[-1] != len(norm):
+                raise ValueError("the pieces don't tile the normalised text")
+            out.append((np.concatenate([ids, self.end]), at[ends]))
+        return out
 
 
 @cache
 def model(path: str) -> Model:
-    return Model(path)
+    with open(path, "rb") as f:
+        return Model(f.read())
 
 
 ADDED = {"ids": T.ArrayType(T.IntegerType()), "boundaries": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}
 
 
 def _kernel(path: str, keep: list[str], text: str, decode: bool):
+    @B.lean
     def run(batches):
         m = model(path)
         for whole in batches:
-            for lo in range(0, whole.num_rows, ROWS):
-                b = whole.slice(lo, ROWS)
-                texts = [t or "" for t in b.column(text).to_pylist()]
-                ids = m.encode(texts)
-                arrays = [np.array(x, np.int32) for x in ids]
-                spans = [m.boundaries(t, x) for t, x in zip(texts, arrays, strict=True)]
-                cols = [_lists(arrays), _lists(spans)] + ([pa.array(m.library.decode(ids), pa.string())] if decode else [])
+            for lo, hi, _, _ in B.slices(whole.column(text), SLICE):
+                b = whole.slice(lo, hi - lo)
+                found = m.encode([t or "" for t in b.column(text).to_pylist()])
+                cols = [_lists([ids for ids, _ in found]), _lists([spans for _, spans in found])]
+                if decode:
+                    cols.append(pa.array([m.library.decode(ids.tolist()) for ids, _ in found], pa.string()))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=[*keep, *list(ADDED)[: len(cols)]])
 
     return run
@@ -192,7 +232,7 @@ def _kernel(path: str, keep: list[str], text: str, decode: bool):
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     at = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(arrays).astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(arrays).astype(np.int32, copy=False)))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, decode: bool = False) -> DataFrame:
@@ -211,21 +251,25 @@ def decode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``docs`` with the column ``decoded``; null ids decode to an empty text."""
     inputs = docs.drop("decoded")
 
+    @B.lean
     def run(batches):
         m = model(path)
         for b in batches:
-            got = m.library.decode([x or [] for x in b.column(ids).to_pylist()]) if b.num_rows else []
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=[*b.schema.names, "decoded"])
+            for lo in range(0, b.num_rows, DECODED):
+                part = b.slice(lo, DECODED)
+                got = m.library.decode([x or [] for x in part.column(ids).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.string())], names=[*part.schema.names, "decoded"])
 
     return inputs.mapInArrow(run, T.StructType([*inputs.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:
-    """Digests of the ids and of the decoded text, by document."""
+    """Digests of the ids, of the decoded text and of the pieces' byte boundaries, by document."""
     found = encode(docs, path, keep=["doc_id"], decode=True)
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2(F.concat_ws(" ", F.col("boundaries").cast("array<string>")), 256).alias("boundaries_sha256"),
     )

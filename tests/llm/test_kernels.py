@@ -101,26 +101,61 @@ def model():
     return pieces.model(public.path("piece_bpe_32k.model"))
 
 
-def test_pieces_match_the_library(monkeypatch):
-    m = model()
-    texts = ["Hello world", "", "  two  spaces ", "é ñ ▁ x\ty\n", "日本", "a" * 300, " ".join(["word"] * 50)]
-    want = m.library.encode(texts, add_eos=True)
-    assert m.encode(texts) == want
-    monkeypatch.setattr(pieces, "PART", 16)
-    assert m.encode(texts) == want
-    for t, ids in zip(texts, want, strict=True):
-        at = m.boundaries(t, np.array(ids))
-        assert at[0] == 0 and at[-1] == len(t.encode()) and (np.diff(at) >= 0).all()
+def mapped_model():
+    """The public model with the library's own compiled character map before it."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    public = pytest.importorskip("public_tokenizers")
+    proto = pb.ModelProto()
+    with open(public.path("piece_bpe_32k.model"), "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.normalizer_spec.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_normalizer_spec())
+    proto.normalizer_spec.add_dummy_prefix = proto.normalizer_spec.remove_extra_whitespaces = proto.normalizer_spec.escape_whitespaces = True
+    assert proto.normalizer_spec.precompiled_charsmap
+    return pieces.Model(proto.SerializeToString())
 
 
-def test_parts_of_texts_that_end_in_a_space_or_hold_space_marks(monkeypatch):
+TEXTS = ["Hello world", "", "  two  spaces ", "é ñ ▁ x\ty\n", "日本", "日本語" * 30, "a" * 300, " ".join(["word"] * 50), "word\n" * 20 + " ", "x" * 40 + "  ", "word▁ word " * 9, "word▁word" * 9 + "▁", "▁ " * 20, "a" * 15 + "▁ b" + "c" * 30, "😀é" * 20]
+
+
+@pytest.mark.parametrize("part", [16, 1 << 17])
+def test_pieces_match_the_library(monkeypatch, part):
     m = model()
-    texts = ["word\n" * 20 + " ", "x" * 40 + " ", "x" * 40 + "  ", "word▁ word " * 9, "word ▁word" * 9, "word▁word" * 9 + "▁", "▁ " * 20, "a" * 15 + "▁ b" + "c" * 30, "a" * 16 + " "]
-    want = m.library.encode(texts, add_eos=True)
-    monkeypatch.setattr(pieces, "PART", 16)
-    assert m.encode(texts) == want
-    for t, ids in zip(texts, want, strict=True):
-        assert m.boundaries(t, np.array(ids))[-1] == len(t.encode())
+    monkeypatch.setattr(pieces, "PART", part)
+    want = m.library.encode(TEXTS, add_eos=True)
+    for t, ids, (own, at) in zip(TEXTS, want, m.encode(TEXTS), strict=True):
+        assert own.tolist() == ids
+        assert at[0] == 0 and at[-1] == len(t.encode()) and (np.diff(at) >= 0).all() and len(at) == len(ids) + 1
+
+
+@pytest.mark.parametrize("part", [16, 1 << 17])
+def test_pieces_and_offsets_of_a_model_with_a_character_map(monkeypatch, part):
+    m = mapped_model()
+    monkeypatch.setattr(pieces, "PART", part)
+    texts = [*TEXTS, "ﬁne  ①② ", "Ａｂｃ　ｄ", "ｶﾞ ½ ㌔", " \t ", "e\u0301 ﷺ x"]
+    for t, (own, at) in zip(texts, m.encode(texts), strict=True):
+        proto = m.library.encode(t, return_type="proto")
+        assert own.tolist() == [*(p.id for p in proto.pieces), m.library.eos_id()], t
+        # where the library gives a piece its whole source, ours begins at the same byte
+        for p, a in zip(proto.pieces, at.tolist(), strict=False):
+            if p.end > p.begin:
+                assert a == p.begin, (t, p)
+
+
+def test_pieces_of_a_model_with_unknown_pieces():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    public = pytest.importorskip("public_tokenizers")
+    proto = pb.ModelProto()
+    with open(public.path("piece_bpe_32k.model"), "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.byte_fallback = False
+    for p in proto.pieces:
+        p.type = 1 if p.type == 6 else p.type
+    m = pieces.Model(proto.SerializeToString())
+    for t, (own, at) in zip(TEXTS, m.encode(TEXTS), strict=True):
+        assert own.tolist() == m.library.encode(t, add_eos=True) and at[-1] == len(t.encode())
 
 
 def test_longest_prefix_normaliser_matches_the_library():
