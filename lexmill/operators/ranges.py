@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.arrays import prefix_sums
+from lexmill.functions.arrays import fenced, let, prefix_maxima, prefix_sums, string
 
 _B, _E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 _C = "[A-Za-z0-9/+]"
@@ -40,43 +40,37 @@ OPTIONAL = {
 RANGE = "array<struct<s:bigint,e:bigint>>"
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Ranges (bytes) of a pattern's matches."""
-    k, g = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(k, F.slice(g, 1, F.size(k)), lambda m, x: F.struct(F.octet_length(x).cast("bigint").alias("g"), F.octet_length(m).cast("bigint").alias("m")))
-    return F.when(F.size(k) > 0, pairs).otherwise(F.array().cast("array<struct<g:bigint,m:bigint>>"))
+def spans(text: str, pattern: str) -> str:
+    """SQL: ranges (bytes) of a pattern's matches, in one expression, so that no optimiser rule copies a part of it into a lambda."""
+    gaps = f"slice(split({text}, {string(pattern)}, -1), 1, size(_k))"
+    sized = f"zip_with(_k, {gaps}, (m, x) -> named_struct('g', cast(octet_length(x) AS bigint), 'm', cast(octet_length(m) AS bigint)))"
+    placed = "transform(_q, (x, i) -> named_struct('s', _s[i] + x.g, 'e', _s[i] + x.g + x.m))"
+    body = let("_q", sized, let("_s", prefix_sums("transform(_q, x -> x.g + x.m)"), placed))
+    return let("_k", f"regexp_extract_all({text}, {string(pattern)}, 0)", f"CASE WHEN size(_k) > 0 THEN {body} ELSE cast(array() AS {RANGE}) END")
 
 
 def pattern_ranges(docs: DataFrame, patterns: dict[str, tuple[list[str], str]], name: str = "ranges", text: str = "text") -> DataFrame:
     """adds merged ranges of all matches. A pattern runs only on texts with one of its literals."""
-    out, low, cols = docs.withColumn("_low", F.lower(text)), F.col("_low"), []
-    for k, (needs, pattern) in enumerate(patterns.values()):
-        c = spans(F.col(text), pattern)
+    found = []
+    for needs, pattern in patterns.values():
+        one = spans(text, pattern)
         if needs:
-            hit = low.contains(needs[0])
-            for literal in needs[1:]:
-                hit = hit | low.contains(literal)
-            c = F.when(hit, c).otherwise(F.array().cast("array<struct<g:bigint,m:bigint>>"))
-        out = out.withColumn(f"_r{k}", F.coalesce(c, F.array().cast("array<struct<g:bigint,m:bigint>>")))
-        cols.append(f"_r{k}")
-    placed = []
-    for c in cols:
-        before = prefix_sums(f"transform({c}, x -> x.g + x.m)")
-        out = out.withColumn(f"{c}s", F.expr(before))
-        placed.append(F.expr(f"transform({c}, (x, i) -> named_struct('s', {c}s[i] + x.g, 'e', {c}s[i] + x.g + x.m))").cast(RANGE))
-    both = F.concat(*placed) if placed else F.array().cast(RANGE)
-    out = out.withColumn("_all", F.array_sort(both))
-    return out.select(*[c for c in docs.columns if c != name], merged("_all").alias(name))
-
-
-def merged(sorted_ranges: str) -> Column:
-    """sorted ranges with overlapping and touching ones joined."""
-    return F.expr(
-        f"""aggregate({sorted_ranges}, cast(array() AS {RANGE}), (a, x) ->
-        CASE WHEN size(a) > 0 AND x.s <= element_at(a, -1).e
-          THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e))))
-          ELSE concat(a, array(x)) END)"""
-    )
+            one = f"CASE WHEN {' OR '.join(f'contains(_low, {string(x)})' for x in needs)} THEN {one} ELSE cast(array() AS {RANGE}) END"
+        found.append(one)
+    both = f"array_sort(concat({', '.join(found)}))" if found else f"cast(array() AS {RANGE})"
+    every = F.expr(let("_low", f"lower({text})", f"CASE WHEN {text} IS NULL THEN cast(array() AS {RANGE}) ELSE {merged_sql(both)} END"))
+    return fenced(docs.select(*[c for c in docs.columns if c != name], every.alias(name)), name)
+
+
+def merged_sql(sorted_ranges: str) -> str:
+    """F6, SQL: sorted ranges with overlapping and touching ones joined.
+
+    A range begins an island if it begins beyond all ends before it; the island ends at the largest end before the next one.
+    """
+    begins = "filter(transform(_r, (x, i) -> CASE WHEN i = 0 OR x.s > _m[i] THEN i END), i -> i IS NOT NULL)"
+    islands = "transform(_p, (p, k) -> named_struct('s', _r[p].s, 'e', CASE WHEN k + 1 < size(_p) THEN _m[_p[k + 1]] ELSE array_max(transform(_r, x -> x.e)) END))"
+    body = let("_m", prefix_maxima("transform(_r, x -> x.e)"), let("_p", begins, islands))
+    return let("_r", sorted_ranges, f"CASE WHEN size(_r) = 0 THEN cast(array() AS {RANGE}) ELSE {body} END")
 
 
 def merge_rows(ranges: DataFrame, *keys: str) -> DataFrame:

@@ -20,11 +20,10 @@ def lines(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return out.select(*keys, (F.col("_p") + 1).alias("line"), F.regexp_replace("_z._l", "\r$", "").alias("line_text"), F.col("_z._o").cast("bigint").alias("line_offset"))
 
 
-def matches(df: DataFrame, text: str, pattern: str, start: str, value: str, outer: bool = False) -> DataFrame:
+def matches(df: DataFrame, text: str, pattern: str, start: str, value: str) -> DataFrame:
     """A row for each match of ``pattern`` in ``text``: ``start`` (bytes), ``value``, and ``before``, the text up to the match since the last one."""
     keep = df.columns
     out = df.withColumn("_k", F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
-    out = out.where(F.size("_k") > 0) if not outer else out
     out = out.withColumn("_g", F.split(F.col(text), pattern, -1))
     out = out.withColumn("_n", F.expr("transform(_k, (m, i) -> cast(octet_length(_g[i]) + octet_length(m) AS bigint))"))
     out = out.withColumn("_s", F.expr(prefix_sums("_n")))
