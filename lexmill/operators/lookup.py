@@ -6,6 +6,7 @@ Words are looked up once each: a distinct relation of words is exploded into loo
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,10 +74,6 @@ def _replace_at(cut: Column, a: str, b: str):
     return lambda k: F.concat(F.array_join(F.slice(cut, 1, k), a), F.lit(b), F.array_join(F.slice(cut, k + 1, F.size(cut)), a))
 
 
-def _starts_in(reach: Column):
-    return lambda x: F.array_contains(reach, x["s"])
-
-
 def replacement_forms(words: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """M6: (word, form): each single replacement at each place."""
     made = []
@@ -90,20 +87,43 @@ def replacement_forms(words: DataFrame, pairs: list[tuple[str, str]]) -> DataFra
 def joined_compounds(words: DataFrame, dict_words: DataFrame, least: int = 3, depth: int = 6) -> DataFrame:
     """Distinct words of two to ``depth`` + 2 known parts of ``least`` bytes or more.
 
-    Substrings are joined with the dictionary; the reach of each word grows part by part.
+    Only substrings as long as some key are looked up, and only in words that begin and end with a part. They travel
+    with the word's digest, not with the word, so a word of thousands of letters stays cheap.
     """
-    own = words.select("word").distinct().withColumn("low", F.lower("word"))
-    a = own.select("word", "low", F.explode(F.sequence(F.lit(0), F.length("low") - 1)).alias("s")).where("length(low) > 0")
-    spans = a.select("word", "low", "s", F.explode(F.sequence(F.col("s") + 1, F.length("low"))).alias("e"))
-    spans = spans.withColumn("key", F.expr("substring(low, s + 1, e - s)")).where((F.octet_length("key") >= least) & (F.col("e") - F.col("s") < F.length("low")))
-    good = spans.join(dict_words.where("kind = 'word'").select("key"), "key", "left_semi").select("word", "s", "e", F.length("low").alias("n"))
-    by = good.groupBy("word", "n").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    reach = F.array(F.lit(0))
-    for _ in range(depth + 2):
-        reach = F.array_distinct(F.concat(reach, F.transform(F.filter("spans", _starts_in(reach)), lambda x: x["e"])))
-        by = by.withColumn("reach", reach)
-        reach = F.col("reach")
-    return by.where(F.array_contains("reach", F.col("n"))).select("word")
+    keys = dict_words.where((F.col("kind") == "word") & (F.octet_length("key") >= least)).select("key").distinct()
+    lengths = sorted(r.n for r in keys.select(F.length("key").alias("n")).distinct().collect())  # at most as many as the longest key has letters
+    if not lengths:
+        return words.select("word").where("false")
+    own = words.select("word").distinct().select("word", F.md5("word").alias("id"), F.lower("word").alias("low")).withColumn("n", F.length("low")).where(F.col("n") > lengths[0])
+    sized = own.select("id", "low", "n", F.explode(F.array(*map(F.lit, lengths))).alias("k")).where("k < n")
+    for edge in ("left(low, k)", "right(low, k)"):
+        held = sized.select("id", F.expr(edge).alias("key")).join(keys, "key", "left_semi").select("id").distinct()
+        sized = sized.join(held, "id", "left_semi")
+    cut = sized.select("id", "n", "k", F.explode(F.expr("transform(sequence(0, n - k), s -> struct(s, substring(low, s + 1, k) AS key))")).alias("x"))
+    good = cut.select("id", "n", F.col("x.key").alias("key"), F.col("x.s").alias("s"), (F.col("x.s") + F.col("k")).alias("e")).join(keys, "key", "left_semi")
+    by = good.groupBy("id", "n").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return own.join(by.mapInArrow(_tiled(depth + 2), "id string"), "id", "left_semi").select("word")
+
+
+def _tiled(most: int):
+    """Kernel: the ids whose spans lead from 0 to n in ``most`` steps or fewer."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for row, (n, spans) in enumerate(zip(b.column("n").to_pylist(), b.column("spans").to_pylist(), strict=True)):
+                ahead: dict[int, list[int]] = {}
+                for x in spans:
+                    ahead.setdefault(x["s"], []).append(x["e"])
+                at = {0}
+                for _ in range(most):
+                    at = {e for s in at for e in ahead.get(s, ())}
+                    if n in at:
+                        keep.append(row)
+                        break
+            yield b.select(["id"]).take(pa.array(keep, pa.int64()))
+
+    return run
 
 
 def trace(words: DataFrame, dict_words: DataFrame, dicts: DataFrame) -> DataFrame:
