@@ -7,13 +7,14 @@ rows and about ``SLICE`` bytes; a longer single text is a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 WINDOW = 1 << 20
 U = np.uint64
 _P = U(0x9E3779B97F4A7C15)
@@ -25,6 +26,25 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def lean(kernel):
+    """A kernel of batches that gives memory back to the system when it ends: workers are used again, by task after task."""
+
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Unused memory of Arrow and of the C library's heap."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def table_of(chars: bytes) -> np.ndarray:
     t = np.zeros(256, bool)
     t[np.frombuffer(chars, np.uint8)] = True
@@ -62,12 +82,12 @@ def buffer(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
 
 
-def slices(col: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(col: pa.Array | pa.ChunkedArray, limit: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, their bytes, their offsets from 0)."""
     data, at = buffer(col)
     lo, rows = 0, len(at) - 1
     while lo < rows:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (limit or SLICE), "right")) - 1)
         hi = min(hi, rows)
         yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi

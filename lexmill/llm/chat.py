@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm import bytesops as B
 from lexmill.llm.scratch import Scratch
 
 ROLES = ("system", "user", "assistant")
@@ -170,6 +171,7 @@ def _emit(rows, schema):
     yield _batch(held, schema)
 
 
+@B.lean
 def _segments(batches):
     """One matrix for each (conv, g): runs of equal keys are combined as they stream by."""
 
@@ -188,6 +190,7 @@ def _segments(batches):
     yield from _emit(rows(), _LEVEL)
 
 
+@B.lean
 def _upwards(batches):
     def rows():
         for t in _groups(batches, ["conv", "up"]):
@@ -199,6 +202,7 @@ def _upwards(batches):
     yield from _emit(rows(), _LEVEL)
 
 
+@B.lean
 def _top(batches):
     def rows():
         for b in batches:
@@ -208,6 +212,7 @@ def _top(batches):
     yield from _emit(rows(), _ENDS)
 
 
+@B.lean
 def _downwards(batches):
     def rows():
         for t in _groups(batches, ["conv", "up"]):
@@ -239,6 +244,7 @@ def piece(text: str, action: str, role: int, inserted: tuple[int, ...], first: b
 _TURNS = [("conv_id", pa.string()), ("turn", pa.int64()), ("role", pa.string()), ("action", pa.string()), ("new_role", pa.string()), ("inserted", pa.list_(pa.string())), ("cost", pa.float64()), ("rendered", pa.string())]
 
 
+@B.lean
 def _turns(batches):
     def rows():
         for t in _groups(batches, ["conv", "g"]):

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmill.functions.arrays import let
 from lexmill.llm import bytesops as B
 from lexmill.llm.scratch import Scratch
 
@@ -175,6 +176,7 @@ ADDED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_h
 
 
 def _kernel(shared, again: bool, keep: list[str]):
+    @B.lean
     def run(batches):
         automaton = shared.value
         for b in batches:
@@ -219,11 +221,11 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.size("item_ids") >= ITEMS).alias("contaminated"))
 
 
-#: the text without its hit bytes
-_CUT = """CASE WHEN size(hit_bytes) > 0 THEN aggregate(sequence(0, size(hit_bytes) div 2 - 1),
-  named_struct('kept', cast('' AS binary), 'at', 0),
-  (a, k) -> named_struct('kept', concat(a.kept, substring(cast(text AS binary), a.at + 1, cast(hit_bytes[2 * k] AS int) - a.at)), 'at', cast(hit_bytes[2 * k + 1] AS int)),
-  a -> cast(concat(a.kept, substring(cast(text AS binary), a.at + 1)) AS string)) ELSE text END"""
+#: the text without its hit bytes: what lies before each hit span, and behind the last
+_CUT = f"""CASE WHEN size(hit_bytes) > 0 THEN {let("_b", "cast(text AS binary)", """concat(
+  array_join(transform(sequence(0, size(hit_bytes) div 2 - 1), k -> cast(substring(_b, cast(CASE WHEN k > 0 THEN hit_bytes[2 * k - 1] ELSE 0 END AS int) + 1,
+    cast(hit_bytes[2 * k] - CASE WHEN k > 0 THEN hit_bytes[2 * k - 1] ELSE 0 END AS int)) AS string)), ''),
+  cast(substring(_b, cast(element_at(hit_bytes, -1) AS int) + 1) AS string))""")} ELSE text END"""
 
 
 def clean(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -235,8 +237,6 @@ def clean(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
     return cut
 
 
-
-
 SQL = r"""
 WITH it AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id,

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.llm import bytesops as B
 from lexmill.llm.graph import components
 from lexmill.llm.scratch import Scratch
 
@@ -136,6 +137,7 @@ def shape(dim: int, count: int, cosine: float) -> tuple[int, int, int]:
         want *= 2
 
 
+@B.lean
 def _load(batches):
     for b in batches:
         rows = []
@@ -154,6 +156,7 @@ def _matrix(col, dim: int) -> np.ndarray:
 
 
 def _filter_rows(count: int, shapes: dict[int, tuple[int, int, int]]):
+    @B.lean
     def run(batches):
         for b in batches:
             dims = b.column("dim").to_numpy()
@@ -192,6 +195,7 @@ def _dots(b: pa.RecordBatch) -> np.ndarray:
 def _near(limit: float):
     """Rows (a, b) within an angle, with that angle."""
 
+    @B.lean
     def run(batches):
         for b in batches:
             angle = _angle(_dots(b))
@@ -205,6 +209,7 @@ def _settle(cosine: float):
     """Pairs of cells of which all members link (kind 2) or some may (kind 1)."""
     theta = float(np.arccos(cosine))
 
+    @B.lean
     def run(batches):
         for b in batches:
             dot = _dots(b)
@@ -235,6 +240,7 @@ def _compare(cosine: float):
         a, b = (np.repeat(t.column(c)[0].as_py(), len(some)) for c in "ab")
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(uid[some]), pa.array(n[some])], names=["a", "b", "uid", "n"])
 
+    @B.lean
     def run(batches):
         held = None
         for b in batches:

@@ -76,6 +76,7 @@ def sets_of(col, size: int) -> Iterator[np.ndarray]:
 def _profiles(size: int, full: bool):
     """Row by row, the digest and signature; with ``full``, the map and the set itself."""
 
+    @B.lean
     def run(batches):
         for b in batches:
             out = []
@@ -136,6 +137,7 @@ def _arrays(b: pa.RecordBatch, side: str):
 
 
 def _prune(percent: int):
+    @B.lean
     def run(batches):
         for b in batches:
             if b.num_rows:
@@ -146,6 +148,7 @@ def _prune(percent: int):
 
 
 def _verify(percent: int):
+    @B.lean
     def run(batches):
         for b in batches:
             keep = []
@@ -182,6 +185,7 @@ def _blocks(percent: int):
         x, y = (np.concatenate([f[s] for f in found]) for s in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
 
+    @B.lean
     def run(batches):
         held = None
         for b in batches:

@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.arrays import fenced, let, prefix_maxima
+
 REPORT = 0.5
 CONTEXT = 0.35
 BEFORE, AFTER = 40, 20
@@ -128,13 +130,12 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets; of overlapping spans the first listed by start wins and the rest of the text they cover goes too."""
     found = detect(docs)
     order = "array_sort(transform(pii, s -> struct(s.start AS start, s.end AS end, s.kind AS kind)))"
-    # (text so far, position): spans that begin before the position only move it on
-    fold = f"""aggregate({order}, struct(cast(array() AS array<string>) AS parts, cast(0 AS bigint) AS at),
-      (a, s) -> CASE WHEN s.start >= a.at
-        THEN struct(concat(a.parts, array(substring(text, cast(a.at AS int) + 1, cast(s.start - a.at AS int)), concat('[', upper(s.kind), ']'))) AS parts, s.end AS at)
-        ELSE struct(a.parts AS parts, greatest(a.at, s.end) AS at) END,
-      a -> concat(array_join(a.parts, ''), substring(text, cast(a.at AS int) + 1)))"""
-    out = found.withColumn("text", F.when(F.size("pii") > 0, F.expr(fold)).otherwise(F.col("text")))
+    # _m: how far the spans before each reach; a span shows if it begins there or later, after the text in between
+    shown = "concat(substring(text, cast(coalesce(_m[i], 0) AS int) + 1, cast(s.start - coalesce(_m[i], 0) AS int)), '[', upper(s.kind), ']')"
+    parts = f"transform(_o, (s, i) -> CASE WHEN i = 0 OR s.start >= _m[i] THEN {shown} ELSE '' END)"
+    tail = "substring(text, cast(array_max(transform(_o, s -> s.end)) AS int) + 1)"
+    whole = let("_o", order, let("_m", prefix_maxima("transform(_o, s -> s.end)"), f"concat(array_join({parts}, ''), {tail})"))
+    out = fenced(found, "pii").withColumn("text", F.when(F.size("pii") > 0, F.expr(whole)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -4,15 +4,17 @@ Each text gives a vector of statistics (lengths, character classes, repetition),
 transformed towards a normal shape. For both classes the mean and covariance are gathered over all
 labelled rows of the training folds; a covariance is shrunk towards the pooled one and towards its diagonal.
 A document's score is the logistic of the difference of the classes' log densities plus log
-priors, with Mahalanobis distances by triangular solves against Cholesky factors that are computed once.
+priors. Mahalanobis distances are squared lengths under the inverse of each class's Cholesky factor, which is lower
+triangular and computed once with the model.
 
-Training sees labels of rows whose crc32(doc_id as text) modulo ``FOLDS`` is not 0. A second fit drops
+Training sees labels of rows whose crc32(doc_id as text) modulo ``FOLDS`` is not 0, at most about ``TRAIN_ROWS`` of
+each label, chosen by hash, so their ids can be broadcast and only their texts are read for the fit. A second fit drops
 the rows that the first one finds at odds with their label beyond ``DOUBT`` (mislabelled rows widen a
 class until it covers the other). Only sums reach the driver: a few hundred numbers a class.
 
 Defined cases: null and empty texts have the statistics of no words and get a score like any
 other. Labels that are null or without a document are not used. Without labels of both classes
-every score is 0.5. Extra columns pass through ``score``.
+every score is 0.5. A document labelled both ways counts once for each. Extra columns pass through ``score``.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from lexmill.llm.scratch import Scratch
 
 FOLDS = 5
 ACCEPT = 0.3
+TRAIN_ROWS = 200_000
 POOL, DIAGONAL, RIDGE = 0.1, 0.1, 1e-3
 DOUBT = 0.02
 
@@ -130,6 +133,7 @@ def _of_column(col) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, len(NAMES)))
 
 
+@B.lean
 def _features(batches):
     for b in batches:
         x = _of_column(b.column("text"))
@@ -145,14 +149,14 @@ def features(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Means, Cholesky factors and log constants of the classes 0 and 1."""
+    """Means, inverse Cholesky factors and log constants of the classes 0 and 1."""
 
     mean: list[np.ndarray]
-    factor: list[np.ndarray]
+    whiten: list[np.ndarray]
     constant: list[float]
 
     def log_density(self, x: np.ndarray, k: int) -> np.ndarray:
-        z = np.linalg.solve(self.factor[k], (x - self.mean[k]).T)
+        z = self.whiten[k] @ (x - self.mean[k]).T
         return self.constant[k] - 0.5 * (z * z).sum(0)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -176,7 +180,7 @@ def solve(n: np.ndarray, total: np.ndarray, outer: np.ndarray) -> Model:
         c = (1 - DIAGONAL) * c + DIAGONAL * np.diag(np.diag(c)) + RIDGE * np.eye(d)
         f = np.linalg.cholesky(c)
         m.mean.append(mean[k])
-        m.factor.append(f)
+        m.whiten.append(np.tril(np.linalg.inv(f)))
         m.constant.append(float(np.log(n[k] / n.sum()) - np.log(np.diag(f)).sum()))
     return m
 
@@ -184,6 +188,7 @@ def solve(n: np.ndarray, total: np.ndarray, outer: np.ndarray) -> Model:
 def _sums(model: Model | None):
     """Sums of each class over the partition: n, vector and outer product in one list."""
 
+    @B.lean
     def run(batches):
         d = len(NAMES)
         held = np.zeros((2, 1 + d + d * d))
@@ -217,15 +222,89 @@ def fit(labelled: DataFrame) -> Model:
     return model
 
 
-def training(labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
-    """(doc_id, label) of the rows outside the held-out fold."""
-    own = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label IN (0, 1)")
-    return own.where(F.crc32(F.col("doc_id").cast("string")) % folds != held_out)
+def training(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) of at most about ``TRAIN_ROWS`` rows of each label outside the held-out fold; each once."""
+    own = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
+    own = own.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0).distinct()
+    most = own.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    return own.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-most // TRAIN_ROWS)))) == 0)
+
+
+def score(self, x: np.ndarray) -> np.ndarray:
+        if not self.mean:
+            return np.full(len(x), 0.5)
+        d = self.log_density(x, 1) - self.log_density(x, 0)
+        return 1 / (1 + np.exp(-np.clip(d, -500, 500)))
+
+
+def solve(n: np.ndarray, total: np.ndarray, outer: np.ndarray) -> Model:
+    """The model from each class's number of rows, sum of vectors and sum of outer products."""
+    if (n < 2).any():
+        return Model([], [], [])
+    d = total.shape[1]
+    mean = total / n[:, None]
+    cov = outer / n[:, None, None] - mean[:, :, None] * mean[:, None, :]
+    pooled = (cov * n[:, None, None]).sum(0) / n.sum()
+    m = Model([], [], [])
+    for k in (0, 1):
+        c = (1 - POOL) * cov[k] + POOL * pooled
+        c = (1 - DIAGONAL) * c + DIAGONAL * np.diag(np.diag(c)) + RIDGE * np.eye(d)
+        f = np.linalg.cholesky(c)
+        m.mean.append(mean[k])
+        m.whiten.append(np.tril(np.linalg.inv(f)))
+        m.constant.append(float(np.log(n[k] / n.sum()) - np.log(np.diag(f)).sum()))
+    return m
+
+
+def _sums(model: Model | None):
+    """Sums of each class over the partition: n, vector and outer product in one list."""
+
+    @B.lean
+    def run(batches):
+        d = len(NAMES)
+        held = np.zeros((2, 1 + d + d * d))
+        for b in batches:
+            x = np.array(b.column("x").to_pylist()).reshape(-1, d)
+            y = b.column("label").to_numpy()
+            if model is not None and len(x):
+                p = model.score(x)
+                keep = np.where(y == 1, p, 1 - p) >= DOUBT
+                x, y = x[keep], y[keep]
+            for k in (0, 1):
+                own = x[y == k]
+                held[k] += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
+        yield pa.RecordBatch.from_pydict({"label": pa.array([0, 1], pa.int32()), "v": pa.array([*held], pa.list_(pa.float64()))})
+
+    return run
+
+
+def fit(labelled: DataFrame) -> Model:
+    """The model of rows (x, label 0 or 1)."""
+    d, model = len(NAMES), None
+    for _ in range(2):
+        sums = labelled.mapInArrow(_sums(model), "label int, v array<double>").select("label", F.posexplode("v").alias("k", "v")).groupBy("label", "k").agg(F.sum("v").alias("v"))
+        held = np.zeros((2, 1 + d + d * d))
+        for r in sums.collect():
+            held[r.label, r.k] = r.v
+        nxt = solve(held[:, 0], held[:, 1 : 1 + d], held[:, 1 + d :].reshape(2, d, d))
+        if not nxt.mean:
+            return model or nxt
+        model = nxt
+    return model
+
+
+def training(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) of at most about ``TRAIN_ROWS`` rows of each label outside the held-out fold; each once."""
+    own = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
+    own = own.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0).distinct()
+    most = own.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    return own.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-most // TRAIN_ROWS)))) == 0)
 
 
 def scores(x: DataFrame, model: Model) -> DataFrame:
     """``features`` rows with their score: (doc_id, score)."""
 
+    @B.lean
     def run(batches):
         for b in batches:
             v = np.array(b.column("x").to_pylist()).reshape(-1, len(NAMES))
@@ -238,6 +317,7 @@ def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFra
     """``docs`` with the score of each text, in one pass."""
     inputs = docs.drop(name).withColumn("text", F.col("text").cast("string"))
 
+    @B.lean
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(_of_column(b.column("text"))))], names=[*b.schema.names, name])
@@ -248,8 +328,10 @@ def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFra
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the labelled training documents among ``docs``."""
     scratch = Scratch(docs.sparkSession, "quality-fit")
-    rows = scratch.table(features(docs).join(training(labels, "quality", FOLDS, 0), "doc_id").select("x", "label"), "labelled")
-    model = fit(rows)
+    chosen = scratch.table(training(labels), "training")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    x = scratch.table(features(texts), "features")
+    model = fit(scratch.table(x.join(chosen, "doc_id").select("x", "label"), "labelled"))
     scratch.clear()
     return model
 
@@ -257,10 +339,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each document."""
     scratch = Scratch(docs.sparkSession, "quality")
-    x = scratch.table(features(docs), "features")
-    rows = scratch.table(x.join(training(labels, "quality", FOLDS, 0), "doc_id").select("x", "label"), "labelled")
-    out = scores(x, fit(rows))
-    return scratch.result(out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted")))
+    out = score(docs.select("doc_id", "text"), train(docs, labels), "score")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
+    return scratch.result(out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted")))
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,15 +7,19 @@ Iterative operators cut their lineage by writing Parquet below the folder named
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; set to a new local folder only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a new local folder in local mode (tests); a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lexmill-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -28,7 +32,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables of one run of an operator. ``result`` keeps one table and drops the others."""
+    """Tables of one run of an operator. ``result`` keeps one table and drops the others; a write that fails drops them all."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -38,8 +42,14 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
-        path = f"{self.path}/{self.n:02d}-{name}"
-        df.write.parquet(path)
+        return self._written(df, f"{self.path}/{self.n:02d}-{name}")
+
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
+        try:
+            df.write.parquet(path)
+        except BaseException:
+            self.clear()
+            raise
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:
@@ -53,9 +63,7 @@ class Scratch:
         _delete(self.spark, self.path)
 
     def result(self, df: DataFrame) -> DataFrame:
-        path = f"{self.path}-result"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        out = self._written(df, f"{self.path}-result")
         _delete(self.spark, self.path)
         return out
 

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmill.llm import bytesops as B
+
 DEFAULT = "allow"
 RULES_PER_PASS = 100_000
 TOKEN = re.compile("[a-z0-9]+")
@@ -84,6 +86,7 @@ def path_of(url: Column) -> Column:
 
 
 def _count(tokens: frozenset[str]):
+    @B.lean
     def run(batches):
         n: Counter = Counter()
         for b in batches:
@@ -113,6 +116,7 @@ def index(patterns: list[Pattern], counts: dict[str, int]) -> dict[str, list[tup
 
 
 def _judge(by: dict[str, list[tuple[str, str, str]]], hosts: dict[str, list[tuple[str, str, str]]], names: list[str], again: bool):
+    @B.lean
     def run(batches):
         compiled: dict[str, re.Pattern] = {}
         for b in batches:

@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.llm import bytesops as B
 from lexmill.llm.scratch import Scratch
 
 ARCHIVE_BYTES = 8 << 20
@@ -66,6 +67,7 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
 
 
 def _write(size: int, level: int):
+    @B.lean
     def run(batches):
         task, k, n = TaskContext.get().partitionId(), 0, 0
         name, z, parts, held = "", None, [], 0
@@ -155,6 +157,7 @@ def normalise(content: bytes, level: int = LEVEL) -> tuple[bytes, list[dict]]:
 
 
 def _normalise(level: int):
+    @B.lean
     def run(batches):
         for b in batches:
             for name, content in zip(b.column("archive").to_pylist(), b.column("content"), strict=True):
@@ -165,6 +168,7 @@ def _normalise(level: int):
     return run
 
 
+@B.lean
 def _read(batches):
     for b in batches:
         for name, content, index in zip(b.column("archive").to_pylist(), b.column("content"), b.column("index"), strict=True):
@@ -233,6 +237,7 @@ def export(archives: DataFrame, folder: str) -> list[str]:
     Files appear under their names only when whole, so a rerun task replaces equal content.
     """
 
+    @B.lean
     def run(batches):
         os.makedirs(folder, exist_ok=True)
         for b in batches:
