@@ -426,15 +426,15 @@ def _within(line: str, start: int, ranges: list[tuple[int, int]]) -> list[tuple[
 ISSUES = [("word", pa.string()), ("offset", pa.int64()), ("line", pa.int32()), ("column", pa.int32()), ("is_forbidden", pa.bool_()), ("suggestions", pa.list_(pa.string()))]
 
 
-def kernel(make_checker, keys: list[str], ranges: str | None):
-    """mapInArrow function: documents (keys, text, ranges) to issue rows."""
+def kernel(make_checker, keys: list[str], ranges: str | None, entries: str | None = None):
+    """mapInArrow function: documents (keys, text, ranges) to issue rows. ``make_checker`` gets a document's ``entries``, or None."""
 
     def run(batches):
-        checker = make_checker()
         for b in batches:
             at, rows = [], []
             spans = b.column(ranges).to_pylist() if ranges else [None] * b.num_rows
             for k, (text, span) in enumerate(zip(b.column("text").to_pylist(), spans, strict=True)):
+                checker = make_checker(b.column(entries)[k].as_py() if entries else None)
                 for issue in check_text(text or "", checker, None if span is None else [(r["s"], r["e"]) for r in span]):
                     at.append(k)
                     rows.append(issue)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,8 +16,9 @@ from lexmill.operators.checker import Checker, Config
 from lexmill.operators.dictionary import Options, key_of, lexicons
 from lexmill.plans import compat, patterns
 
-#: Above this many dictionary rows, words travel with the rows that concern them instead of meeting a broadcast dictionary.
-BROADCAST_ROWS = 5_000_000
+#: Beyond so many dictionary rows or bytes, words travel with the rows that concern them instead of meeting a broadcast dictionary.
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 PARTS = "array<struct<at:int,part:string,forbidden:boolean>>"
 _PARTS = pa.list_(pa.struct([("at", pa.int32()), ("part", pa.string()), ("forbidden", pa.bool_())]))
 STATE = ["word", "escaped", "compound", "case_sensitive", "extra", "inline", "flags"]
@@ -31,9 +33,29 @@ def named(ignore: list[str], special) -> dict[str, tuple[list[str], str]]:
     return out
 
 
-def _dictionary(dict_words: DataFrame) -> tuple[list | None, DataFrame]:
-    rows = dict_words.select("dict", "kind", "key", "payload").limit(BROADCAST_ROWS + 1).collect() if dict_words.count() <= BROADCAST_ROWS else None
-    return (None if rows is None else [tuple(r) for r in rows]), dict_words
+def _dictionary(dict_words: DataFrame) -> list[tuple] | None:
+    """The dictionary's rows if they may be broadcast."""
+    size = dict_words.agg(F.count("*").alias("rows"), F.sum(F.octet_length("key") + F.coalesce(F.octet_length(F.array_join("payload", "")), F.lit(0))).alias("bytes")).first()
+    if size.rows > BROADCAST_ROWS or (size.bytes or 0) > BROADCAST_BYTES:
+        return None
+    return [tuple(r) for r in dict_words.select("dict", "kind", "key", "payload").collect()]
+
+
+_held: dict[str, Checker] = {}
+
+
+def _checker(name: str, shared, options: list[Options], config: Config) -> Checker:
+    """The checker of a broadcast dictionary, built once in a worker."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = Checker(lexicons(shared.value, options), config)
+    return _held[name]
+
+
+def _maker(spark, rows: list[tuple], options: list[Options], config: Config):
+    """A function for kernels that gives the dictionary's checker."""
+    shared, name = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
+    return lambda: _checker(name, shared, options, config)
 
 
 def _spellings(w: str) -> set[str]:
@@ -41,60 +63,71 @@ def _spellings(w: str) -> set[str]:
     return {w, n, w.lower(), n.lower(), chars.ascii_lower(w), key_of(w), key_of(w, True)}
 
 
-def _substrings(w: str) -> set[str]:
-    return {w[i:j] for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
+def _substrings(w: str, most: int) -> set[str]:
+    return {w[i:j] for i in range(len(w)) for j in range(i + 1, min(i + most, len(w)) + 1)}
 
 
-def probes(word: str, pairs: list[tuple[str, str]]) -> set[str]:
-    """The keys that the kernel may look up for a word: of each form, as it is and with one replacement of ``pairs``, all substrings in NFC and folded."""
+def probes(word: str, pairs: list[tuple[str, str]], lengths: frozenset[int] | None = None) -> set[str]:
+    """The keys that the kernel may look up for a word: of each form, as it is and with one replacement of ``pairs``, all substrings in NFC and folded.
+
+    ``lengths``: of the dictionary's keys; probes of other lengths find nothing. A part is at most four times as long
+    as its composed form.
+    """
+    most = len(word) + sum(len(b) for _, b in pairs) if lengths is None else 4 * max(lengths, default=0)
     out: set[str] = set()
     for form in {word, word.replace("’", "'"), word.replace("\\", "")}:
         # Parts of a form compose and fold like the whole, but for cuts between a letter and its mark and for the final sigma.
         alike = unicodedata.normalize("NFC", form) == form and "Σ" not in form
-        for v in {v for w in ([form] if alike else _substrings(form)) for v in _spellings(w)}:
+        for v in {v for w in ([form] if alike else _substrings(form, most)) for v in _spellings(w)}:
             made = {v} | {v[:k] + b + v[k + len(a) :] for a, b in pairs if a for k in range(len(v)) if v.startswith(a, k)}
-            for x in {x for m in made for x in _substrings(m)}:
-                out |= _spellings(x)
+            for x in {x for m in made for x in _substrings(m, most)}:
+                out |= {y for y in _spellings(x) if lengths is None or len(y) in lengths}
     return out - {""}
 
 
+def _entries(words: DataFrame, dict_words: DataFrame, options: list[Options]) -> DataFrame:
+    """(word, _entries): for each distinct word, the dictionary rows of all keys that a lookup may try."""
+    pairs = [p for o in options for p in o.rep_map]
+    lengths = frozenset(r.n for r in dict_words.select(F.length("key").alias("n")).distinct().collect())
+
+    def run(batches):
+        for b in batches:
+            for w in b.column("word").to_pylist():
+                own = sorted(probes(w, pairs, lengths))
+                yield pa.RecordBatch.from_arrays([pa.array([w] * len(own), pa.string()), pa.array(own, pa.string())], names=["word", "key"])
+
+    keys = words.where("word <> ''").select("word").distinct().mapInArrow(run, "word string, key string")
+    return keys.join(dict_words.select("dict", "kind", "key", "payload"), "key").groupBy("word").agg(F.collect_list(F.struct("dict", "kind", "key", "payload")).alias("_entries"))
+
+
+def _rows_of(entries: list[dict] | None) -> list[tuple]:
+    return [(e["dict"], e["kind"], e["key"], e["payload"]) for e in entries or []]
+
+
 def _each(words: DataFrame, dict_words: DataFrame, options: list[Options], config: Config, decide, schema: str, column: str, kind: pa.DataType) -> DataFrame:
     """``words`` with a column decided by the kernel ``decide(checker, row)``."""
-    rows, _ = _dictionary(dict_words)
+    rows = _dictionary(dict_words)
     names = words.columns
     out = T.StructType([*words.schema.fields, T.StructField(column, T._parse_datatype_string(schema))])
     if rows is not None:
-        shared = words.sparkSession.sparkContext.broadcast(rows)
+        make = _maker(words.sparkSession, rows, options, config)
 
         def run(batches):
-            checker = Checker(lexicons(shared.value, options), config)
             for b in batches:
-                got = [decide(checker, r) for r in b.to_pylist()]
+                got = [decide(make(), r) for r in b.to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, kind)], names=[*b.schema.names, column])
 
         return words.mapInArrow(run, out)
 
-    # The dictionary is large: fetch, for each word, the rows of all keys that a lookup may try.
-    pairs = [p for o in options for p in o.rep_map]
-
-    def run_keys(batches):
-        for b in batches:
-            for w in b.column("word").to_pylist():
-                own = sorted(probes(w, pairs))
-                yield pa.RecordBatch.from_arrays([pa.array([w] * len(own), pa.string()), pa.array(own, pa.string())], names=["word", "key"])
-
-    keys = words.where("word <> ''").select("word").distinct().mapInArrow(run_keys, "word string, key string")
-    entries = keys.join(dict_words.select("dict", "kind", "key", "payload"), "key").groupBy("word").agg(F.collect_list(F.struct("dict", "kind", "key", "payload")).alias("_entries"))
-
     def run_wide(batches):
         for b in batches:
             got = []
             for r in b.to_pylist():
-                own = [(e["dict"], e["kind"], e["key"], e["payload"]) for e in r.pop("_entries") or []]
+                own = _rows_of(r.pop("_entries"))
                 got.append(decide(Checker(lexicons(own, options), config), r))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(got, kind)], names=[*names, column])
 
-    return words.join(entries, "word", "left").mapInArrow(run_wide, out)
+    return words.join(_entries(words, dict_words, options), "word", "left").mapInArrow(run_wide, out)
 
 
 def line_states(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
@@ -191,12 +224,8 @@ def capped(issues: DataFrame, config: Config) -> DataFrame:
 
 
 def check_compat(docs: DataFrame, dict_words: DataFrame, options: list[Options], config: Config, typos: DataFrame | None = None) -> DataFrame:
-    """Q2-Q15: the same columns, by the compatible kernel. The dictionary must be within ``BROADCAST_ROWS``."""
-    rows, _ = _dictionary(dict_words)
-    if rows is None:
-        raise ValueError(f"the compatible check needs a dictionary of at most {BROADCAST_ROWS} rows")
+    """Q2-Q15: the same columns, by the compatible kernel. A dictionary too large to broadcast reaches each document as the rows that its words may meet."""
     docs = docs.select("doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
     out = ranges.pattern_ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), named(config.ignore_patterns, config.named_patterns), "skip")
     if config.include_patterns:
         out = ranges.pattern_ranges(out, {str(k): ([], p) for k, p in enumerate(config.include_patterns)}, "include")
@@ -204,11 +233,27 @@ def check_compat(docs: DataFrame, dict_words: DataFrame, options: list[Options],
         out = out.withColumn("include", F.expr("array(named_struct('s', 0L, 'e', cast(octet_length(text) AS bigint)))").cast(ranges.RANGE))
     out = out.withColumn("ranges", ranges.subtract("include", "skip")).select("doc_id", "text", "ranges")
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, ISSUE[n].dataType) for n in ("word", "offset", "line", "column", "is_forbidden", "suggestions"))])
-    make = lambda: Checker(lexicons(shared.value, options), config)
-    issues = out.mapInArrow(compat.kernel(make, ["doc_id"], "ranges"), schema)
+    rows = _dictionary(dict_words)
+    if rows is not None:
+        make = _maker(docs.sparkSession, rows, options, config)
+        issues = out.mapInArrow(compat.kernel(lambda _: make(), ["doc_id"], "ranges"), schema)
+    else:
+        out = out.withColumn("_key", F.sha2("text", 256))
+        words = out.select("_key", "text").distinct().mapInArrow(_parts_of, "_key string, word string")
+        own = words.join(_entries(words, dict_words, options), "word").groupBy("_key").agg(F.array_distinct(F.flatten(F.collect_list("_entries"))).alias("_entries"))
+        found = out.join(own, "_key", "left").select("doc_id", "text", "ranges", "_entries")
+        issues = found.mapInArrow(compat.kernel(lambda e: Checker(lexicons(_rows_of(e), options), config), ["doc_id"], "ranges", "_entries"), schema)
     return finish(docs, issues, None, dict_words, options, config, typos)
 
 
+def _parts_of(batches):
+    """The distinct possible words of each text, which hold all that the compatible check looks up, and the words beside its escapes."""
+    for b in batches:
+        for key, text in zip(b.column("_key").to_pylist(), b.column("text").to_pylist(), strict=True):
+            own = sorted({m[0] for p in (chars.PY_POSSIBLE, chars.PY_WORDS) for m in p.finditer(text or "")})
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(own), pa.string()), pa.array(own, pa.string())], names=["_key", "word"])
+
+
 def finish(docs: DataFrame, issues: DataFrame, near: DataFrame | None, dict_words: DataFrame, options: list[Options], config: Config, typos: DataFrame | None) -> DataFrame:
     """Late patterns, suggestions, known typos, the cap of a document; directive typos come first."""
     for late, want in ((config.late_ignore_patterns, False), (config.late_include_patterns, True)):

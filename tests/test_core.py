@@ -158,8 +158,44 @@ def test_wide_lookups_equal_broadcast_ones(spark, monkeypatch):
 
     want = decided()
     assert want["strasse"] == [] and want["cafe\u0301"] == [] and want["foobar"] == [] and want["wrong"]
+    texts = [" ".join(asked), "fooBarBaz plainCaseWrong straßeCafé don\\'t \\nplain wort-wort 12th x_y", "# cspell:words alpha\nalpha beta\n# cspell:disable\nzzzz\n# cspell:enable\nGRÖSSEs übel", "", None, "plain wrong " * 40]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "wrong again"), (1, texts[1])], "doc_id long, text string")
+
+    def checked(run):
+        return sorted(map(str, run(docs, entries, options, Config(max_duplicates=50)).collect()))
+
+    whole = [checked(run) for run in (native.check_native, native.check_compat)]
+    assert all(len(x) > 20 for x in whole)
     monkeypatch.setattr(native, "BROADCAST_ROWS", 0)
     assert decided() == want
+    assert [checked(run) for run in (native.check_native, native.check_compat)] == whole
+
+
+def test_probes_hold_all_keys_of_the_dictionary_lengths():
+    from lexmill.plans.native import probes
+
+    lengths = frozenset({2, 3, 5})
+    for w in ("straße", "cafe\u0301s", "don’t", "a\\'b", "ΣΑΣ", "İx"):
+        assert probes(w, [("ss", "ß"), ("a", "ä")], lengths) == {x for x in probes(w, [("ss", "ß"), ("a", "ä")]) if len(x) in lengths}
+
+
+def test_ranges_merge_like_rows(spark):
+    import random
+
+    from lexmill.operators import ranges
+
+    r = random.Random(2)
+    sets = [sorted((a, a + r.randrange(1, 9)) for a in (r.randrange(200) for _ in range(n))) for n in (0, 1, 2, 7, 40, 90)]
+    df = spark.createDataFrame(list(enumerate([[{"s": a, "e": b} for a, b in x] for x in sets])), f"k int, r {ranges.RANGE}")
+    got = {x.k: [(y.s, y.e) for y in x.m] for x in df.selectExpr("k", f"{ranges.merged_sql('array_sort(r)')} AS m").collect()}
+    for k, x in enumerate(sets):
+        want = []
+        for a, b in x:
+            if want and a <= want[-1][1]:
+                want[-1] = (want[-1][0], max(want[-1][1], b))
+            else:
+                want.append((a, b))
+        assert got[k] == want
 
 
 def test_queries_over_all_rows(spark, tmp_path):
