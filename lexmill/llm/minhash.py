@@ -16,7 +16,7 @@ what is left is compared on the full sets of 64-bit shingle hashes.
 
 Defined cases: a text that is null or without words has an empty set and links with nothing.
 Rows without an id keep themselves (component null, kept true). Rows of equal id and equal
-text share their component and are all kept. Extra columns are ignored.
+text share their component and are all kept; an id's different texts are linked each by itself. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.llm import bytesops as B
 from lexmill.llm.graph import components, labels
@@ -73,26 +74,58 @@ def sets_of(col, size: int) -> Iterator[np.ndarray]:
             yield np.unique(x[cut[i] : cut[i + 1]])
 
 
-def _profiles(size: int, full: bool):
-    """Row by row, the digest and signature; with ``full``, the map and the set itself."""
+_PROFILE = [("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.binary()), ("map", pa.binary()), ("sh", pa.binary())]
+
+
+def digest(sh: np.ndarray) -> tuple[int, int]:
+    d = np.frombuffer(hashlib.blake2b(sh.tobytes(), digest_size=16).digest(), np.int64)
+    return int(d[0]), int(d[1])
+
+
+def _profiles(size: int):
+    """Row by row: doc_id, size, digest and signature of the set."""
 
     @B.lean
     def run(batches):
         for b in batches:
-            out = []
-            for sh in sets_of(b.column("text"), size):
-                if not len(sh):
-                    out.append((0, None, None, None) if not full else (0, None, None, None, None))
-                    continue
-                if full:
-                    out.append((len(sh), signature(sh), bit_map(sh), sh.tobytes()))
-                else:
-                    d = np.frombuffer(hashlib.blake2b(sh.tobytes(), digest_size=16).digest(), np.int64)
-                    out.append((len(sh), int(d[0]), int(d[1]), signature(sh)))
-            names = ("n", "sig", "map", "sh") if full else ("n", "d1", "d2", "sig")
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary()) if full else (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            out = [(len(sh), *digest(sh), signature(sh)) if len(sh) else (0, None, None, None) for sh in sets_of(b.column("text"), size)]
             cols = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, (_, k) in zip(cols, _PROFILE, strict=False))], names=["doc_id", *(n for n, _ in _PROFILE[:4])])
+
+    return run
+
+
+def _full(size: int):
+    """The whole profile of texts whose set has the digest (d1, d2) that is asked for, each ``rep`` once in a task."""
+    kept = [_PROFILE[0], *_PROFILE[3:]]
+
+    @B.lean
+    def run(batches):
+        seen: set[int] = set()
+        for b in batches:
+            for lo, hi, _, _ in B.slices(b.column("text")):
+                part = b.slice(lo, hi - lo)
+                reps, wanted = part.column("rep").to_pylist(), zip(part.column("d1").to_pylist(), part.column("d2").to_pylist(), strict=True)
+                out = []
+                for rep, d, sh in zip(reps, wanted, sets_of(part.column("text"), size), strict=True):
+                    if rep not in seen and digest(sh) == d:
+                        seen.add(rep)
+                        out.append((rep, len(sh), signature(sh), bit_map(sh), sh.tobytes()))
+                cols = list(zip(*out, strict=True)) if out else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), *(k for _, k in kept)), strict=True)], names=["rep", *(n for n, _ in kept)])
+
+    return run
+
+
+def _marked(size: int, names: list[str]):
+    """Rows with the digest of their set."""
+
+    @B.lean
+    def run(batches):
+        for b in batches:
+            found = [digest(sh) if len(sh) else (None, None) for sh in sets_of(b.column("text"), size)]
+            d1, d2 = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], names=[*names, "_d1", "_d2"])
 
     return run
 
@@ -208,32 +241,32 @@ def _in_parts(sig, bits, size, x, y, percent):
     return np.concatenate([k + passing(sig[x[k : k + 16_384]], sig[y[k : k + 16_384]], bits[x[k : k + 16_384]], bits[y[k : k + 16_384]], size[x[k : k + 16_384]], size[y[k : k + 16_384]], percent) for k in range(0, len(x), 16_384)])
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles long, component_id long, kept boolean) of each row of ``docs`` (doc_id long, text string).
-
-    ``size``: words of a shingle. ``percent``: documents link where 100 * |A and B| >= percent * |A or B|.
-    """
+def _found(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, d1, d2) of each row of ``docs``."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = scratch.table(docs.mapInArrow(_profiles(size, False), "doc_id long, n long, d1 long, d2 long, sig binary"), "profiles")
+    rows = scratch.table(docs.mapInArrow(_profiles(size), "doc_id long, n long, d1 long, d2 long, sig binary"), "profiles")
     linkable = rows.where("doc_id IS NOT NULL AND n > 0")
-    classes = scratch.table(linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.table(linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.first("sig").alias("sig")), "classes")
+    # Where an id has several texts of its own, all but one of their classes get an id by digest.
+    pair = F.struct("d1", "d2")
+    several = scratch.table(classes.groupBy("low").agg(F.min(pair).alias("f"), F.max(pair).alias("l")).where("f <> l").select(F.col("low").alias("several"), "f"), "several")
+    classes = classes.join(several, F.col("low") == F.col("several"), "left").withColumn("rep", F.when(F.col("several").isNull() | (F.col("f") == pair), F.col("low")).otherwise(F.xxhash64("d1", "d2")))
 
-    # Band buckets of class representatives.
-    reps = linkable.join(classes, (linkable.doc_id == classes.rep) & (linkable.d1 == classes.d1) & (linkable.d2 == classes.d2)).select("rep", "sig")
+    # Band buckets of classes.
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("sig"), k * (2 * WIDTH) + 1, F.lit(2 * WIDTH)))))
-    bands = scratch.table(reps.select("rep", band.alias("bucket")), "bands")
+    bands = scratch.table(classes.select("rep", band.alias("bucket")), "bands")
     shared = scratch.table(bands.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count("*").alias("members")).where("last > leader").drop("last"), "buckets")
     members = scratch.table(bands.join(shared, "bucket"), "members")
     scratch.drop(bands)
 
-    # Full sets of the documents that share a bucket.
-    # Written, so that Spark knows their size: ids of fixed width beside texts. It broadcasts them only below its threshold.
-    wanted = scratch.table(members.select("rep").distinct().coalesce(8), "wanted")
-    texts = docs.join(wanted, docs.doc_id == wanted.rep, "left_semi")
-    own = classes.select("rep", "d1", "d2")
-    sets = scratch.table(texts.mapInArrow(_profiles(size, True), "doc_id long, n long, sig binary, map binary, sh binary").withColumnRenamed("doc_id", "rep"), "sets")
+    # Full sets of the classes that share a bucket.
+    # Written, so that Spark knows their size: rows of fixed width beside texts. It broadcasts them only below its threshold.
+    wanted = scratch.table(classes.select("rep", "low", "d1", "d2").join(members.select("rep").distinct(), "rep"), "wanted")
+    texts = docs.join(wanted, docs.doc_id == wanted.low).select("rep", "d1", "d2", "text")
+    sets = scratch.table(texts.mapInArrow(_full(size), "rep long, n long, sig binary, map binary, sh binary"), "sets")
+    if sets.groupBy("rep").count().where("count > 1").limit(1).count():  # rows that repeat id and text in several tasks
+        sets = scratch.table(sets.dropDuplicates(["rep"]), "distinct-sets")
 
     def attach(pairs: DataFrame, cols: list[str]) -> DataFrame:
         for side in "ab":
@@ -264,19 +297,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     second = links(found.distinct())
     final = components(first.unionByName(second), scratch)
 
-    mapped = scratch.table(own.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id")), "mapped")
+    # A component is called after its smallest id; those of classes with an id by digest have it in ``low``.
+    lows = classes.where("rep <> low").select(F.col("rep").alias("node"), "low")
+    names = final.join(lows, "node", "left").groupBy("component").agg(F.min(F.coalesce("low", "node")).alias("component_id"))
+    named = scratch.table(final.join(names, "component").select(F.col("node").alias("rep"), "component_id"), "named")
+    mapped = scratch.table(classes.select("d1", "d2", "rep", "low").join(named, "rep", "left").select("d1", "d2", F.coalesce("component_id", "low").alias("component_id")), "mapped")
     out = rows.select("doc_id", "n", "d1", "d2").join(mapped, ["d1", "d2"], "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.expr("CASE WHEN doc_id IS NOT NULL THEN coalesce(component_id, doc_id) END").alias("component_id"))
-    return scratch.result(out.withColumn("kept", F.expr("doc_id IS NULL OR doc_id = component_id")))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.expr("CASE WHEN doc_id IS NOT NULL THEN coalesce(component_id, doc_id) END").alias("component_id"), "d1", "d2")
+    return out.withColumn("kept", F.expr("doc_id IS NULL OR doc_id = component_id"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles long, component_id long, kept boolean) of each row of ``docs`` (doc_id long, text string).
+
+    ``size``: words of a shingle. ``percent``: documents link where 100 * |A and B| >= percent * |A or B|.
+    """
+    scratch = Scratch(docs.sparkSession, "minhash")
+    return scratch.result(_found(docs, size, percent, scratch).select("doc_id", "n_shingles", "component_id", "kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with the smallest id of each linked group, and one of rows that repeat both id and text."""
-    found = near_duplicates(docs, size, percent)
-    gone = Scratch(docs.sparkSession, "gone").result(found.where("NOT kept").select("doc_id").distinct())
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """``docs`` with the smallest id of each linked group, and one of rows that repeat both id and text. An id's other texts stay unless they link."""
+    scratch, ids = Scratch(docs.sparkSession, "minhash"), Scratch(docs.sparkSession, "gone")
+    found = scratch.result(_found(docs, size, percent, scratch).where("doc_id IS NOT NULL").select("doc_id", "kept", "d1", "d2"))
+    by = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_and("kept").alias("kept")).where("rows > 1 OR NOT kept")
+    other = ids.result(by.select("doc_id", (F.col("rows") > 1).alias("repeated")))
+    out = docs.join(other, "doc_id", "left_anti").select(*docs.columns)
+    repeated = other.where("repeated").select("doc_id")
     if repeated.isEmpty():
         return out
-    again = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+    names = docs.columns
+    again = docs.join(repeated, "doc_id", "left_semi").select(*names)
+    marked = again.mapInArrow(_marked(size, names), T.StructType([*again.schema.fields, T.StructField("_d1", T.LongType()), T.StructField("_d2", T.LongType())]))
+    gone = found.where("NOT kept").join(repeated, "doc_id", "left_semi").select("doc_id", F.col("d1").alias("_d1"), F.col("d2").alias("_d2")).distinct()
+    return out.unionByName(marked.join(gone, ["doc_id", "_d1", "_d2"], "left_anti").dropDuplicates(["doc_id", "text"]).select(*names))

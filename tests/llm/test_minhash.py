@@ -108,3 +108,29 @@ def test_pruning_bound_keeps_the_chosen_miss_probability():
         m = minhash.least_matches(0.8, n)
         tail = sum(comb(n + 1, k) * 0.8**k * 0.2 ** (n + 1 - k) for k in range(m))
         assert tail < minhash.MISS <= tail + comb(n + 1, m) * 0.8**m * 0.2 ** (n + 1 - m)
+
+
+def two_texts():
+    r = random.Random(4)
+    words = lambda n: [f"v{r.randrange(500)}" for _ in range(n)]
+    a, b, c = words(120), words(120), words(90)
+    near = " ".join([*a[:-1], "other"])
+    return [(1, " ".join(a)), (7, near), (7, " ".join(b)), (9, " ".join([*b[:-1], "new"])), (9, " ".join(c)), (9, " ".join(c)), (12, " ".join(c)), (13, None), (13, "")]
+
+
+def test_an_id_with_several_texts(spark):
+    rows = two_texts()
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, 1, True), (7, 1, False), (7, 7, True), (9, 7, False), (9, 9, True), (9, 9, True), (12, 9, False), (13, 13, True), (13, 13, True)])
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n int")
+    kept = minhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[7], rows[8]], key=str)
+
+
+def test_dropping_keeps_the_smallest_id(spark):
+    docs = corpus(5)
+    want = brute(docs, 5, 80)
+    got = {r.doc_id for r in minhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i for i, (_, c) in want.items() if i == c}
+    assert minhash.drop_near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
