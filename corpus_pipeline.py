@@ -6,8 +6,8 @@
 4. pii: spans of personal data are replaced by their kind.
 5. pieces: texts become SentencePiece ids with byte boundaries.
 
-No SQL can train the classifier or encode pieces, so ``ORACLE_SQL`` is None. The stages' operators are
-tested one by one in ``tests/llm``; a brute-force test of the whole pipeline is still to be written.
+No SQL can train the classifier or encode pieces, so ``ORACLE_SQL`` is None; ``tests/llm/test_pipeline.py`` compares
+the whole pipeline with a plain one in Python.
 """
 
 from __future__ import annotations
@@ -54,9 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the table documents."""
+    """The stages over the table documents; a stage's table goes when the next one is written."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        last, docs = docs, scratch.table(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(last)
     return docs
