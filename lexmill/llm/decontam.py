@@ -19,6 +19,8 @@ nothing to report, match nothing. Items of equal id count once. Extra columns pa
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -44,88 +46,145 @@ def item_words(text: str | None) -> np.ndarray:
 
 
 class Automaton:
-    """Suffix automaton of all items; states are list indices, 0 is the root."""
+    """Suffix automaton of all items in flat arrays; states are indices, 0 is the root.
+
+    Most states have one way on: its word and target stand in ``word`` and ``goal``. Further ways are in ``more`` while
+    items are added, then in ``ways``, sorted numbers of (state, word), and ``goals``.
+    ``at_window[v]`` is the state of the last ``window`` words at v, 0 where fewer are known; the items that hold that
+    window are ``items[holders[k]]`` for k from ``first[at]`` to ``first[at + 1]``, where ``at`` numbers the window
+    states. ``short[v]`` is the nearest state on the way to the root at which a shorter item is complete.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         texts = [(i, h) for i, t in items if i is not None and len(h := item_words(t))]
         self.window = window
         self.vocab = np.unique(np.concatenate([h for _, h in texts])) if texts else np.zeros(0, np.uint64)
-        runs = [(i, np.searchsorted(self.vocab, h).tolist()) for i, h in texts]
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.size = [-1], [0]
+        self.items = sorted({str(i) for i, _ in texts})
+        number = {i: k for k, i in enumerate(self.items)}
+        runs = [(number[str(i)], np.searchsorted(self.vocab, h).astype(np.int32)) for i, h in texts]
+        self.word, self.goal = array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.size = array("i", [-1]), array("i", [0])
         for _, run in runs:
             last = 0
-            for c in run:
+            for c in run.tolist():
                 last = self._extend(last, c)
-        order = sorted(range(len(self.size)), key=self.size.__getitem__)
-        self.at_window = [0] * len(self.size)  # the state of the last `window` words
-        for v in order[1:]:
-            self.at_window[v] = v if self.size[self.link[v]] < window <= self.size[v] else self.at_window[self.link[v]]
-        holders: dict[int, set[str]] = {}
-        whole: dict[int, set[tuple[int, str]]] = {}
+        ways = sorted(((v << 32) | c, to) for v, more in self.more.items() for c, to in more.items())
+        self.ways, self.goals = array("q", [w for w, _ in ways]), array("i", [to for _, to in ways])
+        self.forks = bytearray(len(self.size))
+        for v in self.more:
+            self.forks[v] = 1
+        del self.more, ways
+        link, size = np.frombuffer(self.link, np.int32), np.frombuffer(self.size, np.int32)
+        parent = np.maximum(link, 0)
+        own = (size >= window) & (size[parent] < window)
+        self.at_window = array("i", _nearest(own, parent).tobytes())
+        pairs, ends = [], []
         for i, run in runs:
-            v = 0
-            for k, c in enumerate(run):
-                v = self.next[v][c]
+            v, n = 0, len(run)
+            for k, c in enumerate(run.tolist()):
+                v = self.step(v, c)
                 if k + 1 >= window:
-                    holders.setdefault(self.at_window[v], set()).add(str(i))
-            if len(run) < window:
-                whole.setdefault(v, set()).add((len(run), str(i)))
-        self.holders = {v: tuple(sorted(x)) for v, x in holders.items()}
-        self.whole: dict[int, tuple] = {}
-        for v in order[1:]:
-            x = self.whole.get(self.link[v], ()) + tuple(sorted(whole.get(v, ())))
-            if x:
-                self.whole[v] = x
+                    pairs.append((self.at_window[v] << 32) | i)
+            if n < window:
+                ends.append((v, n, i))
+        del link, size
+        both = np.unique(np.array(pairs, np.int64))
+        states, first = np.unique(both >> 32, return_index=True)
+        self.states = states.astype(np.int32)
+        self.first = np.append(first, len(both)).astype(np.int32)
+        self.holders = (both & 0xFFFFFFFF).astype(np.int32)
+        self.ends: dict[int, list[tuple[int, int]]] = {}
+        for v, n, i in sorted(set(ends)):
+            self.ends.setdefault(v, []).append((n, i))
+        short = np.zeros(len(parent), bool)
+        short[list(self.ends)] = True
+        self.short = array("i", _nearest(short, parent).tobytes())
         self.least = min([window, *(len(run) for _, run in runs)])
 
+    def step(self, v: int, c: int) -> int:
+        """The state behind word c, or -1."""
+        if self.word[v] == c:
+            return self.goal[v]
+        if not self.forks[v]:
+            return -1
+        way = (v << 32) | c
+        k = bisect_left(self.ways, way)
+        return self.goals[k] if k < len(self.ways) and self.ways[k] == way else -1
+
+    def _way(self, v: int, c: int) -> int:
+        """``step`` while items are added."""
+        if self.word[v] == c:
+            return self.goal[v]
+        more = self.more.get(v)
+        return -1 if more is None else more.get(c, -1)
+
+    def _put(self, v: int, c: int, to: int) -> None:
+        if self.word[v] in (c, -1):
+            self.word[v], self.goal[v] = c, to
+        else:
+            self.more.setdefault(v, {})[c] = to
+
+    def _add(self, size: int, link: int) -> int:
+        self.word.append(-1)
+        self.goal.append(0)
+        self.link.append(link)
+        self.size.append(size)
+        return len(self.size) - 1
+
     def _extend(self, p: int, c: int) -> int:
-        nxt, link, size = self.next, self.link, self.size
-        if c in nxt[p]:
-            q = nxt[p][c]
+        size, link = self.size, self.link
+        q = self._way(p, c)
+        if q >= 0:
             return q if size[q] == size[p] + 1 else self._clone(p, c, q)
-        v = len(size)
-        nxt.append({})
-        size.append(size[p] + 1)
-        link.append(0)
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = v
+        v = self._add(size[p] + 1, 0)
+        while p >= 0 and (q := self._way(p, c)) < 0:
+            self._put(p, c, v)
             p = link[p]
         if p >= 0:
-            q = nxt[p][c]
             link[v] = q if size[q] == size[p] + 1 else self._clone(p, c, q)
         return v
 
     def _clone(self, p: int, c: int, q: int) -> int:
-        k = len(self.size)
-        self.next.append(dict(self.next[q]))
-        self.size.append(self.size[p] + 1)
-        self.link.append(self.link[q])
+        k = self._add(self.size[p] + 1, self.link[q])
+        self.word[k], self.goal[k] = self.word[q], self.goal[q]
+        if q in self.more:
+            self.more[k] = dict(self.more[q])
         self.link[q] = k
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = k
+        while p >= 0 and self._way(p, c) == q:
+            self._put(p, c, k)
             p = self.link[p]
         return k
 
-    def stream(self, words: list[int], hit: np.ndarray, base: int, found: set[str]) -> None:
-        """Track the longest match over ``words``; mark hits in ``hit[base:]`` and add the items to ``found``."""
-        nxt, link, size, window = self.next, self.link, self.size, self.window
+    def nbytes(self) -> int:
+        """What the automaton's arrays take in memory."""
+        flat = (self.word, self.goal, self.link, self.size, self.at_window, self.short)
+        return sum(len(x) * 4 for x in flat) + self.vocab.nbytes + self.states.nbytes + self.first.nbytes + self.holders.nbytes + 12 * len(self.ways) + len(self.forks)
+
+    def stream(self, words: list[int], hit: np.ndarray, base: int, found: set[int]) -> None:
+        """Track the longest match over ``words``; mark hits in ``hit[base:]`` and add the items' numbers to ``found``."""
+        link, size, window, step = self.link, self.size, self.window, self.step
+        windows: set[int] = set()
         v = n = 0
         for k, c in enumerate(words, base + 1):
-            while v and c not in nxt[v]:
+            while (t := step(v, c)) < 0 and v:
                 v = link[v]
                 n = size[v]
-            if c in nxt[v]:
-                v = nxt[v][c]
+            if t >= 0:
+                v = t
                 n += 1
             if n >= window:
                 hit[k - window : k] = True
-                found.update(self.holders[self.at_window[v]])
-            if v in self.whole:
-                for m, i in self.whole[v]:
-                    if m <= n:
-                        hit[k - m : k] = True
-                        found.add(i)
+                windows.add(self.at_window[v])
+            if w := self.short[v]:
+                while w:
+                    for m, i in self.ends[w]:
+                        if m <= n:
+                            hit[k - m : k] = True
+                            found.add(i)
+                    w = self.short[link[w]]
+        for at in np.searchsorted(self.states, sorted(windows)).tolist():
+            found.update(self.holders[self.first[at] : self.first[at + 1]].tolist())
 
     def scan(self, col):
         """For each row: number of words, hit words, item ids, spans of hit words in bytes (start, end, start, end, ...)."""
@@ -133,7 +192,7 @@ class Automaton:
             s, e, row = B.words(data, at, B.WORD)
             h = B.hashes(data, s, e)[0]
             hit = np.zeros(len(h), bool)
-            found: dict[int, set[str]] = {}
+            found: dict[int, set[int]] = {}
             if len(self.vocab) and len(h):
                 word = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
                 known = self.vocab[word] == h
@@ -154,7 +213,17 @@ class Automaton:
                     flip = np.flatnonzero(flag[1:] != flag[:-1])
                     for x, y in zip(flip[::2], flip[1::2], strict=True):
                         spans += [int(s[a + x] - at[i]), int(e[a + y - 1] - at[i])]
-                yield int(n_words[i]), int(n_hit[i]), sorted(found.get(i, ())), spans
+                yield int(n_words[i]), int(n_hit[i]), [self.items[k] for k in sorted(found.get(i, ()))], spans
+
+
+def _nearest(flag: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """For each state, the nearest flagged one on the way to the root (itself included), 0 if there is none. By doubling."""
+    to = np.where(flag, np.arange(len(flag)), parent).astype(np.int32)
+    while True:
+        nxt = to[to]
+        if (nxt == to).all():
+            return np.where(flag[to], to, 0).astype(np.int32)
+        to = nxt
 
 
 def _merge(a: list[int], b: list[int]) -> list[int]:
