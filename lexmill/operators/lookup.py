@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text
+from lexmill.functions.arrays import fenced
 from lexmill.functions.distance import nfc
 
 KEYS = "array<struct<kind:string,key:string>>"
@@ -48,6 +49,25 @@ def known(words: DataFrame, dict_words: DataFrame) -> DataFrame:
     return keyed.join(dict_words.select("kind", "key"), ["kind", "key"], "left_semi").select(F.col("asked").alias("word")).distinct()
 
 
+#: characters that NFC may change or that have further forms: marks, singletons, Hangul parts, compatibility forms; apostrophes, backslashes
+ODD = "[\\\\’\\p{M}\u0374\u037e\u0387\u0958-\u097f\u09dc-\u09df\u0a33-\u0a5e\u0b5c\u0b5d\u0f43-\u0fb9\u1100-\u11ff\u1f00-\u1fff\u2000\u2001\u2126\u212a\u212b\u2329\u232a\u2adc\ua960-\ua97f\uac00-\ud7ff\uf900-\ufb4f\\x{11000}-\\x{11fff}\\x{1d100}-\\x{1d1ff}\\x{2f800}-\\x{2fa1f}]"
+
+
+def without_known(rows: DataFrame, dict_words: DataFrame) -> DataFrame:
+    """The rows whose word no dictionary holds directly, with repeats.
+
+    Words with one form are looked up as they stand, by two anti-joins that need no distinct words first. The others
+    take the way of ``known``. ``rows`` should end in an exchange, which both ways then share.
+    """
+    rows = fenced(rows, "word")
+    odd = F.col("word").rlike(ODD)
+    of = lambda *kinds: dict_words.where(F.col("kind").isin(*kinds)).select(F.col("key").alias("_key")).distinct()
+    plain = rows.where(~odd).join(of("exact", "word"), F.col("word") == F.col("_key"), "left_anti")
+    plain = plain.join(of("word", "non_strict"), F.lower("word") == F.col("_key"), "left_anti")
+    rest = rows.where(odd)
+    return plain.unionByName(rest.join(known(rest, dict_words), "word", "left_anti").select(plain.columns))
+
+
 def of_kind(words: DataFrame, dict_words: DataFrame, kind: str) -> DataFrame:
     """the distinct words that a dictionary lists as ``forbidden`` or ``no_suggest``."""
     keyed = with_composed(words.select("word").distinct()).withColumn("key", F.lower("composed"))

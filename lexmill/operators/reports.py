@@ -75,8 +75,10 @@ def occurrences(issues: DataFrame, path: str = "path") -> DataFrame:
 
 def first_of_each(issues: DataFrame, path: str = "path") -> DataFrame:
     """One issue for each spelling, by file order, then place."""
-    w = Window.partitionBy("word").orderBy(path, "line", "column")
-    return issues.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    rest = [c for c in issues.columns if c != "word"]
+    place = F.struct(F.col(path).alias("a"), F.col("line").alias("b"), F.col("column").alias("c"))
+    first = issues.groupBy("word").agg(F.min_by(F.struct(*rest), place).alias("_x"))
+    return first.select(*(F.col("word") if c == "word" else F.col(f"_x.{c}").alias(c) for c in issues.columns))
 
 
 def capped_by_file(issues: DataFrame, most: int, path: str = "path") -> DataFrame:

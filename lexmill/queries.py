@@ -47,8 +47,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """More partitions than a small file has splits, before text is taken apart."""
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    """More partitions where a small file has fewer splits than there are cores, before text is taken apart; larger files stay as they are split."""
+    n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
@@ -117,17 +117,11 @@ def camel_split(spark, sf):
 UNKNOWN = f"""{BENCH}, {DOC_WORDS}, unk AS (SELECT * FROM tok WHERE length(word) >= 4 AND lower(word) NOT IN (SELECT key FROM bench))"""
 
 
-def unknown_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of four letters or more that ``bench`` doesn't hold. Settled once for each distinct word."""
-    words = doc_words(spark, sf).where(F.length("word") >= 4)
-    good = lookup.known(words, bench_words(spark, sf))
-    return words.join(good, "word", "left_anti")
-
-
 @query("unknown_words", f"WITH {UNKNOWN} SELECT doc_id, word, least(count(*), 5) AS n FROM unk GROUP BY ALL")
 def unknown_words(spark, sf):
-    """The flagship: unknown words by document, each spelling reported five times at most."""
-    return unknown_tokens(spark, sf).groupBy("doc_id", "word").agg(F.least(F.count("*"), F.lit(5)).cast("bigint").alias("n"))
+    """The flagship: unknown words by document, each spelling reported five times at most (W5). Texts are taken apart once."""
+    counted = doc_words(spark, sf).where(F.length("word") >= 4).groupBy("doc_id", "word").agg(F.least(F.count("*"), F.lit(5)).cast("bigint").alias("n"))
+    return lookup.without_known(counted, bench_words(spark, sf))
 
 
 @query("unknown_distinct", f"WITH {UNKNOWN} SELECT DISTINCT word FROM unk")
@@ -143,7 +137,7 @@ def known_words(spark, sf):
 @query("forbidden_words", f"WITH {DOC_WORDS}, bad AS (SELECT DISTINCT lower(word) AS key FROM tok JOIN labels USING (doc_id) WHERE toxic = 1 AND length(word) > 6) SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM tok WHERE lower(word) IN (SELECT key FROM bad) GROUP BY word")
 def forbidden_words(spark, sf):
     words = doc_words(spark, sf)
-    toxic = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
+    toxic = table(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct()
     bad = words.where(F.length("word") > 6).join(toxic, "doc_id").select(F.lit("bad").alias("dict"), F.lit("forbidden").alias("kind"), F.lower("word").alias("key")).distinct()
     return words.join(lookup.of_kind(words, bad, "forbidden"), "word").groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
@@ -157,10 +151,9 @@ def issues(spark: SparkSession, sf: str) -> DataFrame:
     """(path, word, offset, line, column, is_forbidden, suggestions): the capped unknown words of all documents."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     found = tokens.tokens(docs, "doc_id").where(F.length("word") >= 4).select("doc_id", "line", "offset", "column", "word")
-    good = lookup.known(found, bench_words(spark, sf))
     from lexmill.plans.native import capped
 
-    out = capped(found.join(good, "word", "left_anti").select("doc_id", "word", "offset", "line", "column"), Config())
+    out = lookup.without_known(capped(found, Config()), bench_words(spark, sf)).select("doc_id", "word", "offset", "line", "column")
     return out.select(F.col("doc_id").cast("string").alias("path"), "word", "offset", "line", "column", F.lit(False).alias("is_forbidden"), F.array().cast("array<string>").alias("suggestions"))
 
 
