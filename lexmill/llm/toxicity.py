@@ -10,6 +10,10 @@ a space stands for nothing or for the edge between two words. The
 Viterbi path of least channel cost plus language-model cost is the restored text, which is
 scored along with the original. Other tokens are their own restoration.
 
+Most lattices have letters with one reading, doubled letters and spaces only, at places that share no term of
+the cost. There the path is the sum of independent choices, so ``simple`` takes the cheaper reading
+at each place by arrays, with the path's own costs; the others are decoded one by one.
+
 Lexicon: over training documents (labels of rows whose crc32(doc_id as text) modulo ``FOLDS`` is not
 ``HELD_OUT``; near copies count once, by their smallest shingle hash), words and their first 4, 5 and 6
 bytes that toxic documents hold significantly more often (log-likelihood ratio) get their
@@ -25,6 +29,7 @@ score is 0.5. Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import lru_cache
 
@@ -41,12 +46,18 @@ ACCEPT = 0.3
 TRAIN_ROWS = 200_000
 LEAST_DOCS, LEAST_LLR, LEAST_WEIGHT = 4, 24.0, 1.5
 CUTS = (4, 5, 6)
+MERGE = 1 << 18
 CLASSES = 28
 OTHER, EDGE = 26, 27
+START = CLASSES * EDGE + EDGE
+_ROW = np.uint64(0xD6E8FEB86659FD93)
 
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "*": "aeiou", "#": "", "%": "", "&": "a", ".": "", "-": "", "_": "", ",": "", "'": "", "~": "", "^": "a", "=": "", "/": "", "\\": "", ")": "", ":": "", ";": "", "?": "", '"': "", " ": ""}
 SWAP, ANY, DROP, SEPARATOR, REPEAT = 0.7, 2.5, 3.0, 0.3, 0.3
 _SEPARATORS = " .-_*'~,/"
+_RUN = re.compile(r"(.)\1*", re.DOTALL)
+#: a row of letters of which none stands twice, or else a run of one character
+_STEP = re.compile(r"((?:([^\W\d_])(?!\2))+)|(.)\3*", re.DOTALL)
 
 LETTER = B.table_of(bytes([*range(65, 91), *range(97, 123), *range(128, 256)]))
 _DIGIT = B.table_of(b"0123456789")
@@ -91,59 +102,97 @@ class LanguageModel:
         # a word's first letter: the triples leave it out, those behind it count it
         first = n3[EDGE, :EDGE].sum(1)
         p3[:, EDGE, :EDGE] = (first + 5 * p1[:EDGE]) / (first.sum() + 5)
-        self.table = -np.log(p3)
-        self.cost = self.table.tolist()
+        self._set(-np.log(p3))
+
+    def _set(self, table: np.ndarray) -> None:
+        self.table = table
+        self.flat = table.ravel().tolist()
+        self.gap = lru_cache(1 << 17)(lambda state, text, after: decode(state, text, after, self))
+
+    def __reduce__(self):
+        return _of_table, (self.table,)
+
+
+_models: dict[bytes, LanguageModel] = {}
+
+
+def _of_table(table: np.ndarray) -> LanguageModel:
+    """The model of a table, one in a worker, so that tasks share its gaps."""
+    name = hashlib.blake2b(table.tobytes(), digest_size=16).digest()
+    if name not in _models:
+        _models.clear()
+        _models[name] = LanguageModel.__new__(LanguageModel)
+        _models[name]._set(table)
+    return _models[name]
 
 
 def _class(ch: str) -> int:
     return ord(ch) - 97 if "a" <= ch <= "z" else EDGE if ch == " " else OTHER
 
 
-def options(text: str) -> list[list[tuple[str, float]]]:
-    """The lattice of a lower-case token: for each run of one character, its readings and their channel costs."""
-    out, i = [], 0
-    while i < len(text):
-        ch, j = text[i], i
-        while j < len(text) and text[j] == ch:
-            j += 1
-        n = j - i
-        if ch.isalpha() and ch not in LEET:
-            reads = [(ch * n, 0.0 if n < 3 else REPEAT * n)]
-            if n > 1:
-                reads.append((ch, REPEAT if n > 2 else 4 * REPEAT))
-            if n > 2:
-                reads.append((ch * 2, 1.5 * REPEAT))
-        else:
-            letters = LEET.get(ch, "")
-            price = SWAP if len(letters) < 3 else ANY
-            reads = [(x, price) for x in letters]
-            if n > 1:
-                reads += [(x * 2, price * 1.5) for x in letters]
-            reads.append(("", SEPARATOR if ch in _SEPARATORS else DROP))
-            if ch == " ":
-                reads.append((" ", SEPARATOR))
-        out.append(reads)
-        i = j
-    return out
+@lru_cache(1 << 12)
+def readings(ch: str, n: int) -> tuple[tuple[str, float, tuple[int, ...]], ...]:
+    """The readings of a run of n equal lower-case characters, with their channel costs and classes."""
+    if ch.isalpha() and ch not in LEET:
+        reads = [(ch * n, 0.0 if n < 3 else REPEAT * n)]
+        if n > 1:
+            reads.append((ch, REPEAT if n > 2 else 4 * REPEAT))
+        if n > 2:
+            reads.append((ch * 2, 1.5 * REPEAT))
+    else:
+        letters = LEET.get(ch, "")
+        price = SWAP if len(letters) < 3 else ANY
+        reads = [(x, price) for x in letters]
+        if n > 1:
+            reads += [(x * 2, price * 1.5) for x in letters]
+        reads.append(("", SEPARATOR if ch in _SEPARATORS else DROP))
+        if ch == " ":
+            reads.append((" ", SEPARATOR))
+    return tuple((word, price, tuple(map(_class, word))) for word, price in reads)
+
+
+def options(text: str) -> list[tuple[tuple[str, float, tuple[int, ...]], ...]]:
+    """The lattice of a lower-case token: for each run of one character, its readings."""
+    return [readings(m[0][0], len(m[0])) for m in _RUN.finditer(text)]
 
 
 def viterbi(text: str, lm: LanguageModel) -> str:
-    """The reading of least channel and language-model cost."""
-    cost = lm.cost
-    best = {(EDGE, EDGE): (0.0, None)}  # last two classes -> (cost, (string, previous))
-    for reads in options(text):
+    """The reading of least channel and language-model cost.
+
+    Letters that stand alone have one reading. Behind two of them in a row all paths are in one state, so what stands
+    between such rows is decoded by itself, and each such gap once.
+    """
+    out, state, at = [], START, 0
+    for m in _STEP.finditer(text):
+        row = m[1]
+        if row and len(row) > 1 and row.isalpha():
+            if at < m.start():
+                out.append(lm.gap(state, text[at : m.start()], row[:2]))
+            out.append(row)
+            state, at = _class(row[-2]) * CLASSES + _class(row[-1]), m.end()
+    if at < len(text):
+        out.append(lm.gap(state, text[at:], ""))
+    return "".join(out)
+
+
+def decode(state: int, text: str, after: str, lm: LanguageModel) -> str:
+    """The best reading of a text between a state (the last two classes) and the letters ``after`` it, or the end."""
+    cost = lm.flat
+    best = {state: (0.0, None)}  # state -> (cost, (string, previous))
+    ends = (((after, 0.0, tuple(map(_class, after))),),) if after else (((" ", 0.0, (EDGE,)),),)
+    for reads in (*options(text), *ends):
         nxt: dict = {}
-        for (a, b), (c, path) in best.items():
-            for word, price in reads:
-                x, y, total = a, b, c + price
-                for ch in word:
-                    z = _class(ch)
-                    total += cost[x][y][z]
-                    x, y = y, z
-                if (x, y) not in nxt or total < nxt[x, y][0]:
-                    nxt[x, y] = total, ((word, path) if word else path)
+        for state, (c, path) in best.items():
+            for word, price, classes in reads:
+                at, total = state, c + price
+                for z in classes:
+                    at = at * CLASSES + z
+                    total += cost[at]
+                    at %= CLASSES * CLASSES
+                if at not in nxt or total < nxt[at][0]:
+                    nxt[at] = total, ((word, path) if word else path)
         best = nxt
-    _, path = min(((c + cost[x][y][EDGE], p) for (x, y), (c, p) in best.items()), key=lambda r: r[0])
+    path = min(best.values(), key=lambda r: r[0])[1][1]
     parts = []
     while path:
         parts.append(path[0])
@@ -151,53 +200,169 @@ def viterbi(text: str, lm: LanguageModel) -> str:
     return "".join(reversed(parts))
 
 
-def suspicious(data: np.ndarray, at: np.ndarray, lm: LanguageModel | None = None) -> list[tuple[int, str]]:
-    """(row, obfuscated text) of the spans of a slice that need restoring; split words are found by ``lm``."""
-    s, e, row = B.words(data, at, B.NOT_SPACE)
-    if not len(s):
-        return []
-    low = B.LOWER[data]
-    letter = LETTER[data]
-    flag, maybe = np.zeros(len(data), bool), np.zeros(len(data), bool)
-    flag[:-1] |= _LEET[data[:-1]] & letter[1:]
-    flag[1:] |= _READ[data[1:]] & letter[:-1]
-    flag[:-1] |= letter[:-1] & (low[:-1] == low[1:]) & (data[:-1] < 128)
-    flag[:-1] |= (data[:-1] == 0xC2) & (data[1:] == 0xA3)  # the pound sign
-    flag[:-2] |= (data[:-2] == 0xE2) & (data[1:-1] == 0x82) & (data[2:] == 0xAC)  # the euro sign
-    maybe[:-1] |= _CONTINUED[data[:-1]] & (data[1:] >= 0xC0)  # two characters beyond ASCII, perhaps equal
-    raw = data.tobytes()
-
-    def token(k: int) -> str:
-        return raw[s[k] : e[k]].decode("utf-8", "replace").lower()
-
-    def tokens(marks: np.ndarray) -> np.ndarray:
-        k = np.unique(np.searchsorted(s, np.flatnonzero(marks), "right") - 1)
-        return k[k >= 0]
-
-    hits = tokens(flag)
-    twice = [k for k in np.setdiff1d(tokens(maybe), hits) if _TWICE.search(token(k))]
-    letters = np.concatenate([[0], np.cumsum(letter)])
-    found = [(int(row[k]), token(k)) for k in sorted([*hits, *twice]) if letters[e[k]] > letters[s[k]]]
-    single = _single(data, s, e)
-    link = single[1:] & single[:-1]
-    if lm is not None:
-        link |= _split(data, s, e, letters, lm)
-    link &= row[1:] == row[:-1]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], link, [False]]).astype(np.int8)))
-    for a, b in zip(edge[::2], edge[1::2] + 1, strict=True):
-        if b - a >= 4 or letters[e[b - 1]] > letters[s[a]]:
-            found.append((int(row[a]), " ".join(token(k) for k in range(a, b))))
-    return found
+def _two_bytes() -> tuple[np.ndarray, np.ndarray]:
+    """(whether a letter whose lower case has two bytes too, that lower case) of the characters below 0x800."""
+    low = [ord(x) if len(x := chr(c).lower()) == 1 and 0x80 <= ord(x) < 0x800 else 0 for c in range(0x800)]
+    return np.array([chr(c).isalpha() and x > 0 for c, x in enumerate(low)]), np.array(low, np.uint16)
 
 
+_ALPHA, _LOWERED = _two_bytes()
+_GAPS = re.compile("[\t-\r ]+")
 _TWICE = re.compile(r"([^\W\d_])\1")
 
 
+def _code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((data[at] & 0x1F).astype(np.uint16) << 6) | (data[at + 1] & 0x3F)
+
+
+class Spans:
+    """The spans of a slice that need restoring, as runs of tokens; ``hard`` ones need their lattice."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, lm: LanguageModel | None):
+        self.data = data
+        self.s, self.e, self.row = s, e, row = B.words(data, at, B.NOT_SPACE)
+        self.first = self.last = np.zeros(0, np.int64)
+        self.hard = np.zeros(0, bool)
+        if not len(s):
+            return
+        low, letter = B.LOWER[data], LETTER[data]
+        n = len(data)
+        flag, bad = np.zeros(n, bool), _READ[data]
+        flag[:-1] |= _LEET[data[:-1]] & letter[1:]
+        flag[1:] |= _READ[data[1:]] & letter[:-1]
+        twice = letter[:-1] & (low[:-1] == low[1:]) & (data[:-1] < 128)
+        flag[:-1] |= twice
+        bad[1:-1] |= twice[:-1] & twice[1:]
+        wide = np.flatnonzero(data >= 0xC0)
+        if len(wide):
+            self._beyond_ascii(wide, flag, bad, s, e)
+        letters = np.concatenate([[0], np.cumsum(letter, dtype=np.int32)])
+        own = letters[e] - letters[s]
+        bads = np.concatenate([[0], np.cumsum(bad, dtype=np.int32)])
+        bad_token = bads[e] > bads[s]
+
+        k = np.unique(np.searchsorted(s, np.flatnonzero(flag), "right") - 1)
+        k = k[k >= 0]
+        k = k[own[k] > 0]
+        single = _single(data, s, e)
+        both = single[1:] & single[:-1]
+        split = _split(data, s, e, letters, lm) if lm is not None else np.zeros(len(s) - 1, bool)
+        link = (both | split) & (row[1:] == row[:-1])
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], link, [False]]).astype(np.int8)))
+        a, b = edge[::2], edge[1::2]
+        ok = (b - a >= 3) | (letters[e[b]] > letters[s[a]])
+        a, b = a[ok], b[ok]
+
+        # Where a token's letters begin and end, and whether nothing stands between them.
+        where = np.flatnonzero(letter)
+        lo, hi = np.full(len(s), -1), np.full(len(s), -1)
+        some = np.flatnonzero(own)
+        lo[some] = where[letters[s[some]]]
+        hi[some] = where[letters[e[some]] - 1]
+        packed = (own > 0) & (hi - lo + 1 == own)
+        to_start, to_end = packed & (lo == s), packed & (hi == e - 1)
+        size = e - s
+        pair = np.concatenate([twice, [False]])
+        twice_first = (size > 1) & pair[s]
+        twice_last = (size > 1) & pair[np.maximum(e - 2, s)]
+        one = own < 2  # a character of several bytes alone in a token counts as its bytes
+        alone = np.flatnonzero((size <= 4) & (data[s] >= 0xC0))
+        one[alone] = np.bincount(np.repeat(np.arange(len(alone)), size[alone]), weights=~_CONTINUED[data[np.repeat(s[alone], size[alone]) + _counts(size[alone])]], minlength=len(alone)) < 2
+
+        def among(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+            """Whether any of x[lo:hi] holds."""
+            c = np.concatenate([[0], np.cumsum(x, dtype=np.int32)])
+            return c[np.maximum(hi, lo)] > c[lo]
+
+        tangled = among(bad_token, a, b + 1) | among(~(to_start & to_end) | one, a + 1, b) | ~to_end[a] | ~to_start[b]
+        tangled |= among(twice_last, a, b) | among(twice_first, a + 1, b + 1) | among(~split, a, b)
+        plain = packed[k] & ~bad_token[k] & ~among(twice, s[k], e[k] - 1)
+        k = k[~plain]  # restored, it is its own word
+        self.first, self.last = np.concatenate([k, a]), np.concatenate([k, b])
+        self.hard = np.concatenate([bad_token[k], tangled])
+
+    def _beyond_ascii(self, wide: np.ndarray, flag: np.ndarray, bad: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
+        data = self.data
+        lead = data[wide]
+        flag[wide[(lead == 0xC2) & (data[np.minimum(wide + 1, len(data) - 1)] == 0xA3)]] = True  # the pound sign
+        three = wide[lead >= 0xE0]
+        bad[three] = True
+        end = len(data) - 1
+        flag[three[(data[three] == 0xE2) & (data[np.minimum(three + 1, end)] == 0x82) & (data[np.minimum(three + 2, end)] == 0xAC)]] = True  # the euro sign
+        two = wide[lead < 0xE0]
+        point = _code_points(data, two)
+        bad[two[~_ALPHA[point]]] = True
+        low = _LOWERED[point]
+        again = np.flatnonzero((two[1:] == two[:-1] + 2) & (low[1:] == low[:-1]) & _ALPHA[point[1:]])
+        flag[two[again]] = bad[two[again]] = True
+        # longer characters side by side, perhaps equal
+        width = np.where(data[three] >= 0xF0, 4, 3)
+        near = three[:-1][three[1:] == three[:-1] + width[:-1]]
+        raw = data.tobytes() if len(near) else b""
+        for k in np.unique(np.searchsorted(s, near, "right") - 1).tolist():
+            if k >= 0 and _TWICE.search(raw[s[k] : e[k]].decode("utf-8", "replace").lower()):
+                flag[s[k]] = True
+
+    def texts(self, which: np.ndarray) -> list[tuple[int, str]]:
+        """(row, lower-case text) of spans, tokens joined by one space."""
+        raw, a, b = self.data.tobytes(), self.first[which], self.last[which]
+        rows, begin, end = self.row[a].tolist(), self.s[a].tolist(), self.e[b].tolist()
+        return [(r, _GAPS.sub(" ", raw[x:y].decode("utf-8", "replace").lower())) for r, x, y in zip(rows, begin, end, strict=True)]
+
+    def simple(self, lm: LanguageModel) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bytes, starts, ends, row) of the restored words of the other spans, whose choices are independent."""
+        which = np.flatnonzero(~self.hard)
+        if not len(which):
+            return []
+        a, b = self.first[which], self.last[which]
+        begin, size = self.s[a], self.e[b] - self.s[a]
+        g = self.data[np.repeat(begin, size) + _counts(size)]
+        span = np.repeat(np.arange(len(which)), size)
+        keep = LETTER[g]
+        at = np.flatnonzero(keep & ~_CONTINUED[g])
+        own, c, low = span[at], _CLASS[g[at]], B.LOWER[g[at]]
+        # The first letters of pairs: one of them is read if that costs less.
+        k = np.flatnonzero((at[1:] == at[:-1] + 1) & (low[1:] == low[:-1]) & (own[1:] == own[:-1]) & (low[:-1] < 128))
+        y = np.where((k > 0) & (own[np.maximum(k - 1, 0)] == own[k]), c[np.maximum(k - 1, 0)], EDGE)
+        z = np.where((k + 2 < len(at)) & (own[np.minimum(k + 2, len(at) - 1)] == own[k]), c[np.minimum(k + 2, len(at) - 1)], EDGE)
+        t = lm.table
+        drop = t[y, c[k], z] + 4 * REPEAT < t[y, c[k], c[k]] + t[c[k], c[k], z]
+        keep[at[k[drop] + 1]] = False
+        two = at[(g[at] >= 0xC0) & (g[at] < 0xE0)]
+        if len(two):
+            low = _LOWERED[_code_points(g, two)]
+            g[two], g[two + 1] = 0xC0 | (low >> 6), 0x80 | (low & 0x3F)
+        ends = np.cumsum(np.bincount(span[keep], minlength=len(which)))
+        starts = np.concatenate([[0], ends[:-1]])
+        g = g[keep]
+        row = self.row[a]
+        changed = (a < b) | (np.bincount(own[k[drop]], minlength=len(which)) > 0) | (ends - starts < size)
+        out = [(g, starts[changed], ends[changed], row[changed])]
+        # words of spans of tokens also without their first or last letter
+        lead = np.concatenate([[0], np.cumsum(~_CONTINUED[g], dtype=np.int32)])
+        long = (a < b) & (lead[ends] - lead[starts] > 4)
+        starts, ends, row = starts[long], ends[long], row[long]
+        place = np.flatnonzero(~_CONTINUED[g])
+        return [*out, (g, place[lead[starts] + 1], ends, row), (g, starts, place[lead[ends] - 1], row)]
+
+
+def _counts(n: np.ndarray) -> np.ndarray:
+    """0 .. n[0] - 1, 0 .. n[1] - 1, and so on."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n, n)
+
+
+def suspicious(data: np.ndarray, at: np.ndarray, lm: LanguageModel | None = None) -> list[tuple[int, str]]:
+    """(row, obfuscated text) of the spans of a slice that need restoring; split words are found by ``lm``."""
+    spans = Spans(data, at, lm)
+    return spans.texts(np.arange(len(spans.first)))
+
+
 def _split(data: np.ndarray, s: np.ndarray, e: np.ndarray, letters: np.ndarray, lm: LanguageModel) -> np.ndarray:
     """Whether a token and the next one cost less as one word than as two."""
     own = ~_CONTINUED[data]
     c = _READING[data[own]]
-    n = np.concatenate([[0], np.cumsum(own)])
+    n = np.concatenate([[0], np.cumsum(own, dtype=np.int32)])
     a, b = n[s], n[e]
     size = b - a
     ok = (letters[e] > letters[s]) & (size > 0)
@@ -230,36 +395,36 @@ def restore(text: str, lm: LanguageModel) -> list[str]:
 def _restorer(lm: LanguageModel | None):
     kept = lru_cache(1 << 16)(lambda t: restore(t, lm))
 
-    def rows(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes, row) of the restored words of a slice, each followed by a space."""
-        parts, own = [], []
-        for r, t in suspicious(data, at, lm):
+    def parts(data: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bytes, starts, ends, row) of the restored words of a slice."""
+        spans = Spans(data, at, lm)
+        found, own = [], []
+        for r, t in spans.texts(np.flatnonzero(spans.hard)):
             for w in kept(t) if len(t) < 200 else restore(t, lm):
-                b = w.encode() + b" "
-                parts.append(b)
+                found.append(w.encode())
                 own.append(r)
-        return parts, own
+        out = spans.simple(lm) if lm is not None else []
+        if found:
+            n = np.array([len(w) for w in found])
+            ends = np.cumsum(n)
+            out.append((np.frombuffer(b"".join(found), np.uint8), ends - n, ends, np.array(own)))
+        return out
 
-    return rows
+    return parts
 
 
 def features(data: np.ndarray, at: np.ndarray, restored) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, row): for each word of a slice, original or restored, the hashes of itself and of its first bytes."""
     s, e, row = B.words(data, at, LETTER)
-    x = np.stack(B.hashes(data, s, e, CUTS), 1) if len(s) else np.zeros((0, 1 + len(CUTS)), np.uint64)
-    parts, own = restored(data, at)
-    if parts:
-        more = np.frombuffer(b"".join(parts), np.uint8)
-        ends = np.cumsum([len(p) for p in parts])
-        starts = ends - [len(p) for p in parts]
-        x = np.concatenate([x, np.stack(B.hashes(more, starts, ends - 1, CUTS), 1)])
-        row = np.concatenate([row, own])
-    return x, row
+    parts = [(data, s, e, row), *restored(data, at)]
+    x = [np.stack(B.hashes(g, s, e, CUTS), 1) for g, s, e, _ in parts]
+    return np.concatenate(x), np.concatenate([r for *_, r in parts])
 
 
 # Training
 
 
+@B.lean
 def _gather(batches):
     """Triple counts of the partition (kind 0), and the smallest shingle hash of each training document (kind 1)."""
     total = np.zeros(CLASSES**3, np.int64)
@@ -291,23 +456,44 @@ def _rows(kind: int, a: list, b: list, label: list) -> pa.RecordBatch:
 def _count(lm: LanguageModel, only: np.ndarray | None):
     """In how many documents of the partition each feature (of ``only``) occurs."""
 
+    def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        k, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return [k], [np.bincount(at, weights=np.concatenate(counts), minlength=len(k)).astype(np.int64)]
+
+    def every(slices):
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for x, r in slices:
+            _, first = np.unique(B.spread(x + r.astype(np.uint64) * _ROW), return_index=True)  # each feature once in a document
+            k, n = np.unique(x[first], return_counts=True)
+            keys.append(k)
+            counts.append(n)
+            if sum(map(len, keys[1:])) > max(MERGE, len(keys[0])):
+                keys, counts = merge(keys, counts)
+        keys, counts = merge(keys, counts)
+        return keys[0], counts[0]
+
+    def known(slices):
+        keys = Keys(only)
+        counts = np.zeros(len(only), np.int64)
+        for x, r in slices:
+            at, k = keys.find(x)
+            pairs = np.sort(r[at] * len(only) + k)
+            pairs = pairs[np.flatnonzero(np.diff(pairs, prepend=-1))]
+            counts += np.bincount(pairs % len(only), minlength=len(only))
+        some = np.flatnonzero(counts)
+        return keys.keys[some], counts[some]
+
+    @B.lean
     def run(batches):
         restored = _restorer(lm)
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for b in batches:
-            for lo, hi, data, at in B.slices(b.column("text")):
-                x, row = features(data, at, restored)
-                r = np.repeat(row, x.shape[1])
-                x = x.ravel()
-                if only is not None:
-                    k = np.minimum(np.searchsorted(only, x), len(only) - 1)
-                    ok = only[k] == x
-                    x, r = x[ok], r[ok]
-                order = np.lexsort((x, r))
-                x, r = x[order], r[order]
-                new = np.concatenate([[True], (x[1:] != x[:-1]) | (r[1:] != r[:-1])]) if len(x) else np.zeros(0, bool)
-                keys, at_key = np.unique(np.concatenate([keys, x[new]]), return_inverse=True)
-                counts = np.bincount(at_key, weights=np.concatenate([counts, np.ones(int(new.sum()))]), minlength=len(keys)).astype(np.int64)
+
+        def slices():
+            for b in batches:
+                for _, _, data, at in B.slices(b.column("text")):
+                    x, row = features(data, at, restored)
+                    yield x.ravel(), np.repeat(row, x.shape[1])
+
+        keys, counts = (every if only is None else known)(slices())
         yield pa.RecordBatch.from_pydict({"f": pa.array(keys.astype(np.int64)), "n": pa.array(counts)})
 
     return run
@@ -325,20 +511,40 @@ def weigh(n1: np.ndarray, n0: np.ndarray, t1: int, t0: int) -> tuple[np.ndarray,
     return np.log((n1 + 0.5) / (t1 + 1)) - np.log((n0 + 0.5) / (t0 + 1)), g
 
 
+class Keys:
+    """Sorted hashes, with a bit map of their low bits that turns most others away."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys)
+        bits = max(16, (16 * len(keys)).bit_length())
+        self.mask = np.uint64((1 << bits) - 1)
+        self.low = np.zeros(1 << bits, bool)
+        self.low[self.keys & self.mask] = True
+
+    def __reduce__(self):
+        return Keys, (self.keys,)
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where in x, which key) of the hashes that are keys."""
+        at = np.flatnonzero(self.low[x & self.mask])
+        k = np.searchsorted(self.keys, x[at])
+        ok = self.keys[np.minimum(k, len(self.keys) - 1)] == x[at]
+        return at[ok], k[ok]
+
+
 class Lexicon:
     def __init__(self, keys: np.ndarray, weights: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.weights = keys[order], weights[order]
+        self.keys, self.weights = Keys(keys), weights[np.argsort(keys)]
 
     def evidence(self, x: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
         """(largest weight, distinct words that hit) by row."""
         top, hits = np.zeros(rows), np.zeros(rows, np.int64)
-        if not len(self.keys) or not len(x):
+        if not len(self.weights) or not len(x):
             return top, hits
         w = np.zeros(len(x))
         for c in range(x.shape[1]):
-            k = np.minimum(np.searchsorted(self.keys, x[:, c]), len(self.keys) - 1)
-            np.maximum(w, np.where(self.keys[k] == x[:, c], self.weights[k], 0), out=w)
+            at, k = self.keys.find(x[:, c])
+            w[at] = np.maximum(w[at], self.weights[k])
         some = np.flatnonzero(w)
         np.maximum.at(top, row[some], w[some])
         pairs = np.unique(np.stack([row[some].astype(np.uint64), x[some, 0]], 1), axis=0)
@@ -346,6 +552,7 @@ class Lexicon:
 
 
 def _evidence(lm: LanguageModel, lexicon: Lexicon):
+    @B.lean
     def run(batches):
         restored = _restorer(lm)
         for b in batches:

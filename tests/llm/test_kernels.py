@@ -1,5 +1,6 @@
 """Kernels of the operators against brute force; no session needed."""
 
+import itertools
 import random
 import re
 import zlib
@@ -69,13 +70,58 @@ def test_noisy_channel():
     assert [r for r, _ in toxicity.suspicious(d, a)] == [1, 2]
 
 
+def restored_words(texts, lm):
+    """The restored words of each text."""
+    out = [set() for _ in texts]
+    for g, starts, ends, rows in toxicity._restorer(lm)(*B.buffer(pa.array(texts, pa.string()))):
+        for a, b, r in zip(starts, ends, rows, strict=True):
+            out[r].add(bytes(g[a:b]).decode().lower())
+    return out
+
+
+def every_reading(text, lm):
+    """The least cost of all readings of a lattice, and the readings of that cost."""
+    best = {}
+    for path in itertools.product(*toxicity.options(text)):
+        word = "".join(p[0] for p in path)
+        c = [toxicity.EDGE, toxicity.EDGE, *(toxicity._class(x) for x in word), toxicity.EDGE]
+        total = sum(p[1] for p in path) + sum(lm.table[c[k : k + 3][0], c[k + 1], c[k + 2]] for k in range(len(c) - 2))
+        best[word] = min(total, best.get(word, np.inf))
+    least = min(best.values())
+    return {w for w, c in best.items() if c <= least + 1e-9}
+
+
+def random_texts(alphabet, n, longest, seed):
+    r = random.Random(seed)
+    return ["".join(r.choice(alphabet) for _ in range(r.randrange(longest))) for _ in range(n)]
+
+
+def test_viterbi_takes_the_cheapest_of_all_readings():
+    lm = toxicity.LanguageModel(toxicity.triples(*B.buffer(pa.array(["stupid idiot moron the and of thing inside students " * 50]))))
+    for t in [*random_texts(["a", "t", "s", "i", "1", "$", "*", " ", "oo", "ddd", ".", "é"], 300, 7, 3), "1d10t", "s t u p", "m0 r0n"]:
+        assert toxicity.viterbi(t, lm) in every_reading(t, lm), t
+
+
+@pytest.mark.parametrize("alphabet", [["a", "b", "c", "o", "e", "é", "É", "ß", "ñ", ".", "-", "1", "$", " ", " ", "  ", "oo", "ll", "lll", "日", "ж", "Ж", "€", "£", ",", '"', "\n", "İ", "*"], ["a", "o", "e", "n", "t", "s", "i", " ", " ", "oo", "ll", "é", "."]])
+def test_independent_choices_are_the_lattice_paths(alphabet):
+    lm = toxicity.LanguageModel(toxicity.triples(*B.buffer(pa.array(["stupid tea stone llama noon the eat soon on it is in " * 50]))))
+    texts = [*random_texts(alphabet, 600, 60, 5), "", None, "a", "aa"]
+    own = [set(w.lower() for w in re.findall(r"[A-Za-z\x80-\U0010ffff]+", t or "")) for t in texts]
+    want = [set() for _ in texts]
+    spans = toxicity.suspicious(*B.buffer(pa.array(texts, pa.string())), lm)
+    for r, t in spans:
+        want[r].update(toxicity.restore(t, lm))
+    assert spans
+    for got, w, o in zip(restored_words(texts, lm), want, own, strict=True):
+        assert got - o == w - o
+
+
 def test_noisy_channel_of_doubled_split_and_spaced_words():
     words = ("stupid idiot moron trass the and of thing inside students " * 50).split()
     lm = toxicity.LanguageModel(toxicity.triples(*B.buffer(pa.array([" ".join(words)]))))
 
     def restored(text):
-        parts, rows = toxicity._restorer(lm)(*B.buffer(pa.array(["the thing", text])))
-        return {p.decode().strip() for p, r in zip(parts, rows, strict=True) if r == 1}
+        return restored_words(["the thing", text], lm)[1]
 
     for text, want in (("iddiot", "idiot"), ("mmoron", "moron"), ("sttupid", "stupid"), ("tra$$", "trass"), ("th€", "the"), ("the id iot", "idiot"), ("mo ron and", "moron"), ("moro n", "moron"), ("stu pid thing", "stupid"), ("t h e", "the"), ("o f", "of"), ("stuuupid", "stupid")):
         assert want in restored(text), text
