@@ -40,24 +40,30 @@ OPTIONAL = {
 RANGE = "array<struct<s:bigint,e:bigint>>"
 
 
-def spans(text: str, pattern: str) -> str:
-    """SQL: ranges (bytes) of a pattern's matches, in one expression, so that no optimiser rule copies a part of it into a lambda."""
+_SIZED = "array<struct<g:bigint,m:bigint>>"
+
+
+def _matches(text: str, pattern: str) -> str:
+    """SQL: a pattern's matches as sizes in bytes: of the gap before, and of the match."""
     gaps = f"slice(split({text}, {string(pattern)}, -1), 1, size(_k))"
     sized = f"zip_with(_k, {gaps}, (m, x) -> named_struct('g', cast(octet_length(x) AS bigint), 'm', cast(octet_length(m) AS bigint)))"
-    placed = "transform(_q, (x, i) -> named_struct('s', _s[i] + x.g, 'e', _s[i] + x.g + x.m))"
-    body = let("_q", sized, let("_s", prefix_sums("transform(_q, x -> x.g + x.m)"), placed))
-    return let("_k", f"regexp_extract_all({text}, {string(pattern)}, 0)", f"CASE WHEN size(_k) > 0 THEN {body} ELSE cast(array() AS {RANGE}) END")
+    return let("_k", f"regexp_extract_all({text}, {string(pattern)}, 0)", f"CASE WHEN size(_k) > 0 THEN {sized} ELSE cast(array() AS {_SIZED}) END")
 
 
 def pattern_ranges(docs: DataFrame, patterns: dict[str, tuple[list[str], str]], name: str = "ranges", text: str = "text") -> DataFrame:
-    """adds merged ranges of all matches. A pattern runs only on texts with one of its literals."""
+    """adds merged ranges of all matches. A pattern runs only on texts with one of its literals.
+
+    It is one expression, so that no optimiser rule copies a part of it into a lambda, and what turns matches into
+    places stands in it once, over an array of all patterns' matches.
+    """
     found = []
     for needs, pattern in patterns.values():
-        one = spans(text, pattern)
+        one = _matches(text, pattern)
         if needs:
-            one = f"CASE WHEN {' OR '.join(f'contains(_low, {string(x)})' for x in needs)} THEN {one} ELSE cast(array() AS {RANGE}) END"
+            one = f"CASE WHEN {' OR '.join(f'contains(_low, {string(x)})' for x in needs)} THEN {one} ELSE cast(array() AS {_SIZED}) END"
         found.append(one)
-    both = f"array_sort(concat({', '.join(found)}))" if found else f"cast(array() AS {RANGE})"
+    placed = let("_s", prefix_sums("transform(_q, x -> x.g + x.m)"), "transform(_q, (x, i) -> named_struct('s', _s[i] + x.g, 'e', _s[i] + x.g + x.m))")
+    both = f"array_sort(flatten(transform(array({', '.join(found)}), _q -> {placed})))" if found else f"cast(array() AS {RANGE})"
     every = F.expr(let("_low", f"lower({text})", f"CASE WHEN {text} IS NULL THEN cast(array() AS {RANGE}) ELSE {merged_sql(both)} END"))
     return fenced(docs.select(*[c for c in docs.columns if c != name], every.alias(name)), name)
 

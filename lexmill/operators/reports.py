@@ -42,6 +42,16 @@ def json_files(issues: DataFrame, path: str = "path", diff: DataFrame | None = N
     return out.select(path, F.to_json(F.struct("issues", F.col(path).alias("path"))).alias("json"))
 
 
+def json_report(issues: DataFrame, path: str = "path") -> DataFrame:
+    """(value) the lines of one JSON document: the files with issues in order, then the summary. Rows stay rows, so no task holds the report."""
+    files = json_files(issues, path).withColumn("_n", F.lit(1))
+    total = summary(issues, path).select(F.lit(None).cast("string").alias(path), F.concat(F.lit('],"summary":'), F.to_json(F.struct("files_with_issues", "total_issues")), F.lit("}")).alias("json"), F.lit(2).alias("_n"))
+    first = files.agg(F.min(path).alias("_first"))
+    head = first.select(F.lit(None).cast("string").alias(path), F.lit('{"files":[').alias("json"), F.lit(0).alias("_n"))
+    files = files.join(F.broadcast(first), F.lit(True)).select(path, F.concat(F.when(F.col(path) == F.col("_first"), "").otherwise(","), "json").alias("json"), "_n")
+    return head.unionByName(files).unionByName(total).orderBy("_n", path).select(F.col("json").alias("value"))
+
+
 def summary(issues: DataFrame, path: str = "path") -> DataFrame:
     """K6, A3: (files_with_issues, total_issues), whatever the diff."""
     return issues.agg(F.count_distinct(path).alias("files_with_issues"), F.count("*").alias("total_issues"))

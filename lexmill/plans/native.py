@@ -21,7 +21,7 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 PARTS = "array<struct<at:int,part:string,forbidden:boolean>>"
 _PARTS = pa.list_(pa.struct([("at", pa.int32()), ("part", pa.string()), ("forbidden", pa.bool_())]))
-STATE = ["word", "escaped", "compound", "case_sensitive", "extra", "inline", "flags"]
+STATE = ["word", "code", "escaped", "compound", "case_sensitive", "extra", "inline", "flags"]
 ISSUE = T.StructType([T.StructField("word", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType()), T.StructField("is_forbidden", T.BooleanType()), T.StructField("is_known_typo", T.BooleanType()), T.StructField("suggestions", T.ArrayType(T.StringType()))])
 
 
@@ -104,9 +104,8 @@ def _rows_of(entries: list[dict] | None) -> list[tuple]:
     return [(e["dict"], e["kind"], e["key"], e["payload"]) for e in entries or []]
 
 
-def _each(words: DataFrame, dict_words: DataFrame, options: list[Options], config: Config, decide, schema: str, column: str, kind: pa.DataType) -> DataFrame:
-    """``words`` with a column decided by the kernel ``decide(checker, row)``."""
-    rows = _dictionary(dict_words)
+def _each(words: DataFrame, dict_words: DataFrame, rows: list[tuple] | None, options: list[Options], config: Config, decide, schema: str, column: str, kind: pa.DataType) -> DataFrame:
+    """``words`` with a column decided by the kernel ``decide(checker, row)``; ``rows``: the dictionary if it may be broadcast."""
     names = words.columns
     out = T.StructType([*words.schema.fields, T.StructField(column, T._parse_datatype_string(schema))])
     if rows is not None:
@@ -123,11 +122,14 @@ def _each(words: DataFrame, dict_words: DataFrame, options: list[Options], confi
         for b in batches:
             got = []
             for r in b.to_pylist():
-                own = _rows_of(r.pop("_entries"))
+                own = _rows_of([*(r.pop("_entries") or []), *(r.pop("_more") or [])])
                 got.append(decide(Checker(lexicons(own, options), config), r))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(got, kind)], names=[*names, column])
 
-    return words.join(_entries(words, dict_words, options), "word", "left").mapInArrow(run_wide, out)
+    asked = words.select("word").unionByName(words.where("code IS NOT NULL").select(F.col("code").alias("word")))
+    held = _entries(asked, dict_words, options)
+    wide = words.join(held, "word", "left").join(held.select(F.col("word").alias("code"), F.col("_entries").alias("_more")), "code", "left")
+    return wide.select(*names, "_entries", "_more").mapInArrow(run_wide, out)
 
 
 def line_states(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
@@ -165,56 +167,48 @@ def found_tokens(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]
     got = got.where(F.col("skip").isNull() | ~ranges.inside("skip", "offset"))
     if config.include_patterns:
         got = got.where((F.size("include") == 0) | ranges.inside("include", "offset"))
-    return got.select("doc_id", "line", "line_text", "in_line", "offset", "word", "code", F.coalesce("escaped", F.lit(False)).alias("escaped"), "compound", "case_sensitive", "extra", "inline", "flags", "ignore_regexps"), near
+    column = tokens.column_of("line_text", "in_line").cast("int").alias("column")
+    return got.select("doc_id", "line", column, "offset", "word", "code", F.coalesce("escaped", F.lit(False)).alias("escaped"), "compound", "case_sensitive", "extra", "inline", "flags", "ignore_regexps"), near
 
 
 def _decide(c: Checker, r: dict) -> list[dict]:
+    """What a word reports; nothing if the code token that it stands in is known as a whole."""
     f = lambda x: frozenset(x or ())
-    got = c.resolve(r["word"], r["escaped"], None if r["extra"] is None else f(r["extra"]), r["compound"], r["case_sensitive"], f(r["inline"]), f(r["flags"]))
+    extra = None if r["extra"] is None else f(r["extra"])
+    if r["code"] is not None and c.code(r["code"], extra, r["compound"], r["case_sensitive"], f(r["inline"])):
+        return []
+    got = c.resolve(r["word"], r["escaped"], extra, r["compound"], r["case_sensitive"], f(r["inline"]), f(r["flags"]))
     return [{"at": a, "part": p, "forbidden": b} for a, p, b in got]
 
 
-def _decide_code(c: Checker, r: dict) -> bool:
-    return c.code(r["word"], None if r["extra"] is None else frozenset(r["extra"]), r["compound"], r["case_sensitive"], frozenset(r["inline"] or ()))
-
-
 def check_native(docs: DataFrame, dict_words: DataFrame, options: list[Options], config: Config, typos: DataFrame | None = None) -> DataFrame:
     """Q1: (doc_id, issue columns) of documents (doc_id, text).
 
-    Distinct words are settled once: those that the default dictionaries hold directly leave by a join; what is left
-    meets the fallbacks in a kernel; the tokens then join the words that report something.
+    Each distinct word with its line's state is settled once by a kernel; the tokens then join those that report
+    something. Beside a dictionary too large to broadcast, words that it holds directly leave by joins before.
     """
     docs = docs.select("doc_id", "text")
     found, near = found_tokens(docs, config)
-    code_state = ["code", "compound", "case_sensitive", "extra", "inline"]
-    codes = found.where("code IS NOT NULL").select(*code_state).distinct().withColumnRenamed("code", "word")
-    codes = _each(codes, dict_words, options, config, _decide_code, "boolean", "ok", pa.bool_()).where("ok").drop("ok")
-    same = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
-    whole = found.where("code IS NULL")
-    other = found.where("code IS NOT NULL").alias("t").join(codes.withColumnRenamed("word", "code").alias("c"), [F.col("t.code") == F.col("c.code"), *same("t", "c", code_state[1:])], "left_anti")
-    found = whole.unionByName(other.select(whole.columns))
-
     words = found.select(*STATE).distinct()
-    default = [o.name for o in options if o.active]
+    rows = _dictionary(dict_words)
     plain = not config.case_sensitive and all(not o.configured and not o.case_sensitive for o in options)
-    if plain:  # direct membership by joins; kernels see the rest
-        active = dict_words.where(F.col("dict").isin(default))
+    if rows is None and plain:
+        active = dict_words.where(F.col("dict").isin([o.name for o in options if o.active]))
         good = lookup.known(words, active)
         bad = lookup.of_kind(words, active, "forbidden")
         low = text.ascii_lower("word")
         flagged = low.isin(*config.flag_words) if config.flag_words else F.lit(False)
         own = F.coalesce(F.array_contains("flags", low), F.lit(False))
-        keep = words.where(flagged | own)
-        rest = words.where(~flagged & ~own)
-        rest = rest.join(good.join(bad, "word", "left_anti"), "word", "left_anti")
-        words = keep.unionByName(rest.select(words.columns))
-    settled = _each(words, dict_words, options, config, _decide, PARTS, "parts", _PARTS).where(F.size("parts") > 0)
-    hits = found.alias("t").join(settled.alias("w"), [F.col("t.word") == F.col("w.word"), *same("t", "w", STATE[1:])]).select("t.*", "w.parts")
-    hits = hits.select("doc_id", "line", "line_text", "in_line", "offset", "ignore_regexps", F.explode("parts").alias("p"))
-    issues = hits.select("doc_id", F.col("p.part").alias("word"), (F.col("offset") + F.col("p.at")).cast("bigint").alias("offset"), "line", tokens.column_of("line_text", "in_line + p.at").cast("int").alias("column"), F.col("p.forbidden").alias("is_forbidden"), F.lit(None).cast("array<string>").alias("suggestions"), "ignore_regexps")
+        rest = words.where(~flagged & ~own).join(good.join(bad, "word", "left_anti"), "word", "left_anti")
+        words = words.where(flagged | own).unionByName(rest.select(words.columns))
+    settled = _each(words, dict_words, rows, options, config, _decide, PARTS, "parts", _PARTS).where(F.size("parts") > 0)
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"w.{c}")) for c in STATE[1:]]
+    hits = found.alias("t").join(settled.alias("w"), [F.col("t.word") == F.col("w.word"), *same]).select("t.doc_id", "t.word", "t.line", "t.column", "t.offset", F.explode("w.parts").alias("p"))
+    part_column = F.col("column") + F.length(F.expr("cast(substring(cast(word AS binary), 1, p.at) AS string)"))
+    issues = hits.select("doc_id", F.col("p.part").alias("word"), (F.col("offset") + F.col("p.at")).cast("bigint").alias("offset"), "line", part_column.cast("int").alias("column"), F.col("p.forbidden").alias("is_forbidden"), F.lit(None).cast("array<string>").alias("suggestions"))
     for p in config.ignore_patterns:
         issues = issues.where(F.col("is_forbidden") | ~F.col("word").rlike(p))
-    return finish(docs, capped(issues.drop("ignore_regexps"), config), near, dict_words, options, config, typos)
+    return finish(docs, capped(issues, config), near, dict_words, options, config, typos)
 
 
 def capped(issues: DataFrame, config: Config) -> DataFrame:

@@ -485,7 +485,7 @@ _DIFF = "diff --git a/0 b/0\n--- a/0\n+++ b/0\n@@ -1,2 +1,3 @@\n a\n+b\n c\ndiff
 
 @query("diff_filter", f"{ISSUES_SQL} SELECT CAST(doc_id AS VARCHAR) AS path, line, word, \"column\" FROM {_capped} WHERE (doc_id = 0 AND line = 2) OR (doc_id = 1 AND line IN (1, 2))")
 def diff_filter(spark, sf):
-    raw = spark.createDataFrame([("d", k, v) for k, v in enumerate(_DIFF.split("\n"))], "diff_id string, no int, value string")
+    raw = spark.createDataFrame([(_DIFF,)], "text string")
     return reports.in_diff(issues(spark, sf), files.diff_lines(raw)).select("path", "line", "word", "column")
 
 

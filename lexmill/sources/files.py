@@ -103,19 +103,25 @@ def locale_matches(locale: str | None, active: str) -> bool:
     return any(x.strip() == "*" or x.strip().lower() in have for x in locale.split(","))
 
 
-def selected(files: DataFrame, *, ignore: list[str] = (), exclude: list[str] = (), gitignore: dict[str, list[str]] | None = None, vendored: list[str] = (), kind: str | None = None, config: str | None = None, hidden: bool = False, generated_too: bool = False, most: int | None = None) -> DataFrame:
-    """Files that pass all filters, each once."""
+def selected(files: DataFrame, *, ignore: list[str] = (), exclude: list[str] = (), gitignore: dict[str, list[str]] | None = None, vendored: list[str] = (), kind: str | None = None, config: str | None = None, hidden: bool = False, generated_too: bool = False, most: int | None = None, listed: DataFrame | None = None, root: str | None = None) -> DataFrame:
+    """Files that pass all filters, each once. Patterns are for paths below ``root``, where it is given."""
     p = F.col("path")
+    below = p
+    if root:
+        start = root.rstrip("/") + "/"
+        below = F.when(p.startswith(start), F.substring(p, F.lit(len(start) + 1), F.length(p))).otherwise(p)
     out = files
     if not hidden:
-        out = out.where(~p.rlike(r"(?:^|/)\.[^/]+"))
+        out = out.where(~below.rlike(r"(?:^|/)\.[^/]+"))
     if config:
         out = out.where(p != config)
     if gitignore:
         out = out.where(~globs.git_ignored(p, gitignore))
+    if listed is not None:
+        out = out.join(listed.select("path").distinct(), "path", "left_semi")
     for patterns in (ignore, exclude, vendored):
         if patterns:
-            out = out.where(~globs.ignored(p, list(patterns)))
+            out = out.where(~globs.ignored(below, list(patterns)))
     if kind:
         out = out.where(of_type(p, kind))
     if not generated_too:
@@ -136,22 +142,61 @@ def vendored_globs(lines: list[str]) -> list[str]:
 
 
 def diff_lines(diff: DataFrame) -> DataFrame:
-    """(path, line) of added lines. ``diff``: diff_id, no, value: unified diffs as lines.
+    """(path, line) of added lines. ``diff``: text: unified diffs, each whole.
 
-    A header names the target file, a hunk its first line; within a hunk every line but removed ones counts.
+    A header names the target file, a hunk its first line; within a hunk every line but removed ones counts. Diffs are
+    cut at their files' headers first, so a window holds one file's part.
     """
-    w = Window.partitionBy("diff_id").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    parts = diff.select(F.monotonically_increasing_id().alias("_d"), F.posexplode(F.split("text", r"(?m)^(?=diff --git )", -1)).alias("_f", "_part"))
+    rows = parts.select("_d", "_f", F.posexplode(F.split("_part", "\r?\n", -1)).alias("no", "value"))
+    w = Window.partitionBy("_d", "_f").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     v = F.col("value")
     file = F.when(v.rlike(r"^\+\+\+ "), F.regexp_replace(F.regexp_extract(v, r"^\+\+\+ ([^\t]*)", 1), "^b/", ""))
     hunk = F.when(v.startswith("@@"), F.col("no"))
     start = F.when(v.startswith("@@"), F.regexp_extract(v, r"^@@ -\d+(?:,\d+)? \+(\d+)", 1).cast("int"))
-    out = diff.withColumns({"path": F.last(F.when(v.startswith("diff --git"), "").otherwise(file), ignorenulls=True).over(w), "hunk": F.last(hunk, ignorenulls=True).over(w), "start": F.last(start, ignorenulls=True).over(w)})
+    out = rows.withColumns({"path": F.last(file, ignorenulls=True).over(w), "hunk": F.last(hunk, ignorenulls=True).over(w), "start": F.last(start, ignorenulls=True).over(w)})
     inside = F.col("hunk").isNotNull() & (F.col("no") > F.col("hunk")) & ~v.rlike(r"^(?:diff --git|\+\+\+ |--- |index |\\)")
-    h = Window.partitionBy("diff_id", "path", "hunk").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    h = Window.partitionBy("_d", "_f", "path", "hunk").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     out = out.where(inside).withColumn("line", F.col("start") - 1 + F.sum(F.when(v.startswith("-"), 0).otherwise(1)).over(h))
     return out.where(v.startswith("+") & ~F.col("path").isin("", "/dev/null")).select("path", F.col("line").cast("int").alias("line"))
 
 
+def read_diff(spark: SparkSession, path: str) -> DataFrame:
+    """``diff_lines`` of the diff files below a path."""
+    return diff_lines(spark.read.text(path, wholetext=True).withColumnRenamed("value", "text"))
+
+
+def marker_files(spark: SparkSession, folder: str, name: str, depth: int, above: bool = False) -> dict[str, str]:
+    """Text of the files called ``name`` (or ``{a,b}``) by folder: in a folder and the ``depth`` levels below it; with ``above``, also in those above it up to one with a ``.git``.
+
+    The listing is one glob a level, so stores with many files but few such files stay cheap.
+    """
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    text_of = spark._jvm.org.apache.commons.io.IOUtils.toString
+    out: dict[str, str] = {}
+
+    def take(pattern: str) -> None:
+        for status in fs.globStatus(path_of(pattern)) or []:
+            if status.isFile():
+                stream = fs.open(status.getPath())
+                try:
+                    text = text_of(stream, "UTF-8")
+                finally:
+                    stream.close()
+                full = re.sub(r"^file:/+", "/", status.getPath().toString())
+                out.setdefault(full if "{" in name else full.rpartition("/")[0], text)
+
+    folder = folder.rstrip("/")
+    for k in range(depth + 1):
+        take(folder + "/*" * k + "/" + name)
+    at = folder
+    while above and not fs.exists(path_of(f"{at}/.git")) and "/" in at.removeprefix("file://").strip("/"):
+        at = at.rpartition("/")[0]
+        take(f"{at}/{name}")
+    return out
+
+
 def to_check(files: DataFrame, cache: DataFrame, strategy: str = "metadata") -> DataFrame:
     """files that the cache doesn't know as clean and unchanged, by (path, modified, size) or by content."""
     if strategy == "metadata":

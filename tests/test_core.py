@@ -121,8 +121,73 @@ def test_files(spark):
     got = {r.path: (list(r.l), r.g) for r in df.select("path", files.languages(F.col("path")).alias("l"), files.generated(F.col("path")).alias("g")).collect()}
     assert got == {"a/b.py": (["python"], False), "Dockerfile": (["dockerfile"], False), "x/package-lock.json": (["json"], True), "y.vue": (["html", "vue"], False)}
     diff = "diff --git a/f b/f\n--- a/f\n+++ b/f\n@@ -1,3 +1,4 @@\n a\n-b\n+B\n+C\n d\n"
-    raw = spark.createDataFrame([("d", k, v) for k, v in enumerate(diff.split("\n"))], "diff_id string, no int, value string")
-    assert [(r.path, r.line) for r in files.diff_lines(raw).orderBy("line").collect()] == [("f", 2), ("f", 3)]
+    more = "diff --git a/g b/g\ndeleted file mode 100644\n--- a/g\n+++ /dev/null\n@@ -1 +0,0 @@\n-x\n" + diff.replace("/f", "/h").replace("+1,4", "+11,4")
+    raw = spark.createDataFrame([(diff + more,)], "text string")
+    assert sorted((r.path, r.line) for r in files.diff_lines(raw).collect()) == [("f", 2), ("f", 3), ("h", 12), ("h", 13)]
+
+
+def tree(tmp_path, contents):
+    for name, text in contents.items():
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    return str(tmp_path)
+
+
+def test_check_of_a_folder(spark, tmp_path, capsys):
+    from lexmill import cli
+
+    root = tree(tmp_path / "repo", {
+        ".git/HEAD": "", ".gitignore": "build\n# note\n*.tmp\n", "cspell.json": '{"words": ["alpha", "plain"], "minWordLength": 4}',
+        "a.txt": "alpha plain wrongg\n", "b.md": "plain", "x.tmp": "badd worrd", "build/y.txt": "badd",
+        ".gitattributes": "vendor/** linguist-vendored\n", "vendor/z.txt": "badd",
+        "sub/.gitignore": "skip.txt\n", "sub/skip.txt": "badd", "sub/cspell.json": '{"words": ["inner"]}', "sub/c.txt": "inner alpha\nalpha", "sub/deep/d.txt": "inner beta",
+    })
+
+    def run(*options):
+        code = cli.main(["check", root, *options], spark)
+        return code, capsys.readouterr().out.strip().split("\n")
+
+    code, lines = run("--strict", "--no-default-configuration", "--stats")
+    short = sorted(x.removeprefix(root + "/").partition(" fix:")[0] for x in lines[:-1])
+    assert code == 1 and short == ["a.txt:1:13 - Unknown word (wrongg)", "sub/c.txt:1:7 - Unknown word (alpha)", "sub/c.txt:2:1 - Unknown word (alpha)", "sub/deep/d.txt:1:7 - Unknown word (beta)"]
+    assert lines[-1].endswith("3 with issues, 4 issues")
+    (tmp_path / "d.diff").write_text("diff --git a/sub/c.txt b/sub/c.txt\n--- a/sub/c.txt\n+++ b/sub/c.txt\n@@ -1 +1,2 @@\n inner alpha\n+alpha\n")
+    (tmp_path / "list").write_text(f"{root}/sub/c.txt\n\n{root}/a.txt\n")
+    found = __import__("json").loads("".join(run("--format", "json", "--unique", "--file-list", str(tmp_path / "list"))[1]))
+    assert found["summary"] == {"files_with_issues": 2, "total_issues": 2} and [f["path"].removeprefix(root) for f in found["files"]] == ["/a.txt", "/sub/c.txt"]
+    cache = str(tmp_path / "cache")
+    assert run("--no-gitignore", "--diff", str(tmp_path / "d.diff"), "--show-context", "--cache", cache)[1] == [f"{root}/sub/c.txt:2:1 - Unknown word (alpha) -- alpha"]
+    assert {r.path for r in spark.read.parquet(cache).collect()} >= {f"{root}/b.md"}
+
+
+def test_selection_of_files(spark, tmp_path):
+    from lexmill import api
+
+    root = tree(tmp_path / "r", {".gitignore": "build\n*.tmp\n", ".gitattributes": "vendor/** linguist-vendored\n", "a.txt": "x", "x.tmp": "x", "build/y.txt": "x", "vendor/z.txt": "x", "sub/.gitignore": "skip.txt\n", "sub/skip.txt": "x", "skip.txt": "x", "sub/c.txt": "x"})
+    names = lambda **kw: sorted(r.path.removeprefix(root) for r in api.selected_files(spark, root, {}, **kw).select("path").collect())
+    assert names() == ["/a.txt", "/skip.txt", "/sub/c.txt"]
+    assert names(gitignore=False) == ["/a.txt", "/build/y.txt", "/skip.txt", "/sub/c.txt", "/sub/skip.txt", "/vendor/z.txt", "/x.tmp"]
+
+
+def test_commands_on_files(tmp_path, capsys):
+    from lexmill import cli
+
+    words = str(tmp_path / "dict" / "words.txt")
+    assert cli.add_words(words, ["One", "two", "One"]) == ["One", "two"] and cli.add_words(words, ["ONE", "x"], True) == ["!ONE", "!x"] and cli.add_words(words, ["one"]) == []
+    conf = tmp_path / "cspell.json"
+    conf.write_text('{"words": ["b", "a"], "import": ["base.json"]}')
+    assert cli.main(["link", "add", "more.json", "--config", str(conf)]) == 0 and capsys.readouterr().out == "base.json\nmore.json\n"
+    assert cli.main(["link", "remove", "base.json", "--config", str(conf)]) == 0 and cli.main(["migrate", str(conf)]) == 0
+    assert config.read_words(words)[-2:] == ["a", "b"] and '"word_files"' in (tmp_path / "cspell.migrated.json").read_text()
+
+
+def test_spell_check_function(spark):
+    from lexmill import api
+
+    api.register(spark, {"words": ["alpha"], "minWordLength": 4})
+    got = spark.sql("SELECT d.id, s.word, s.line FROM VALUES (1, 'alpha bettta'), (2, 'alpha'), (3, NULL) AS d(id, t), LATERAL spell_check(d.t) s").collect()
+    assert [tuple(r) for r in got] == [(1, "bettta", 1)]
 
 
 def test_edits():
@@ -150,10 +215,10 @@ def test_wide_lookups_equal_broadcast_ones(spark, monkeypatch):
     options = [Options("d", rep_map=[("ss", "ß"), ("a", "ä")]), Options("c", case_sensitive=True, configured=True, use_compounds=True, rep_map=[("e", "é")])]
     entries = rows(spark, ["straße", "café", "don't", "käse", "größe", "plain"]).unionByName(rows(spark, ["Été", "wort", "Café"], name="c")).unionByName(rows(spark, ["foo"], "part_first")).unionByName(rows(spark, ["bär"], "part_last")).unionByName(rows(spark, ["übel"], "forbidden"))
     asked = ["strasse", "Strasse", "cafe\u0301", "CAFE\u0301s", "don’t", "don\\\\'t", "kase", "Kasex", "foobar", "GRÖSSE", "grösse", "U\u0308bel", "Eté", "ete", "plainCase", "wortwort", "wrong", "STRASSEs"]
-    words = spark.createDataFrame([(w, False, False, False, None, None, None) for w in asked], "word string, escaped boolean, compound boolean, case_sensitive boolean, extra array<string>, inline array<string>, flags array<string>")
+    words = spark.createDataFrame([(w, None, False, False, False, None, None, None) for w in asked], "word string, code string, escaped boolean, compound boolean, case_sensitive boolean, extra array<string>, inline array<string>, flags array<string>")
 
     def decided():
-        got = native._each(words, entries, options, Config(), native._decide, native.PARTS, "parts", native._PARTS)
+        got = native._each(words, entries, native._dictionary(entries), options, Config(), native._decide, native.PARTS, "parts", native._PARTS)
         return {r.word: [tuple(p) for p in r.parts] for r in got.collect()}
 
     want = decided()
