@@ -96,23 +96,20 @@ def _profiles(size: int):
 
 
 def _full(size: int):
-    """The whole profile of texts whose set has the digest (d1, d2) that is asked for, each ``rep`` once in a task."""
-    kept = [_PROFILE[0], *_PROFILE[3:]]
+    """The whole profiles of texts, those of equal id and set once in a task."""
 
     @B.lean
     def run(batches):
-        seen: set[int] = set()
+        seen: set[tuple] = set()
         for b in batches:
             for lo, hi, _, _ in B.slices(b.column("text")):
-                part = b.slice(lo, hi - lo)
-                reps, wanted = part.column("rep").to_pylist(), zip(part.column("d1").to_pylist(), part.column("d2").to_pylist(), strict=True)
-                out = []
-                for rep, d, sh in zip(reps, wanted, sets_of(part.column("text"), size), strict=True):
-                    if rep not in seen and digest(sh) == d:
-                        seen.add(rep)
-                        out.append((rep, len(sh), signature(sh), bit_map(sh), sh.tobytes()))
-                cols = list(zip(*out, strict=True)) if out else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), *(k for _, k in kept)), strict=True)], names=["rep", *(n for n, _ in kept)])
+                part, out = b.slice(lo, hi - lo), []
+                for i, sh in zip(part.column("doc_id").to_pylist(), sets_of(part.column("text"), size), strict=True):
+                    if len(sh) and (key := (i, *digest(sh))) not in seen:
+                        seen.add(key)
+                        out.append((i, len(sh), *key[1:], signature(sh), bit_map(sh), sh.tobytes()))
+                cols = list(zip(*out, strict=True)) if out else [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), *(k for _, k in _PROFILE)), strict=True)], names=["doc_id", *(n for n, _ in _PROFILE)])
 
     return run
 
@@ -261,10 +258,18 @@ def _found(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFr
     scratch.drop(bands)
 
     # Full sets of the classes that share a bucket.
-    # Written, so that Spark knows their size: rows of fixed width beside texts. It broadcasts them only below its threshold.
-    wanted = scratch.table(classes.select("rep", "low", "d1", "d2").join(members.select("rep").distinct(), "rep"), "wanted")
-    texts = docs.join(wanted, docs.doc_id == wanted.low).select("rep", "d1", "d2", "text")
-    sets = scratch.table(texts.mapInArrow(_full(size), "rep long, n long, sig binary, map binary, sh binary"), "sets")
+    # Written, so that Spark knows their size: ids of fixed width beside texts. It broadcasts them only below its threshold.
+    multi = scratch.table(linkable.groupBy("doc_id").agg(F.min(pair).alias("f"), F.max(pair).alias("l")).where("f <> l").select(F.col("doc_id").alias("multi")), "multi")
+    own = scratch.table(classes.join(multi, F.col("low") == F.col("multi")).select("multi", F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("rep").alias("own")), "own")
+    wanted = members.select("rep").distinct().join(own.select("own", "multi"), F.col("rep") == F.col("own"), "left").select(F.coalesce("multi", "rep").alias("id"))
+    wanted = scratch.table(wanted.distinct(), "wanted")
+    texts = docs.join(wanted, docs.doc_id == wanted.id, "left_semi")
+    sets = texts.mapInArrow(_full(size), "doc_id long, n long, d1 long, d2 long, sig binary, map binary, sh binary")
+    # An id with one set stands for that set's class; of an id with several, only sets count whose class is called after it.
+    sets = sets.join(multi, F.col("doc_id") == F.col("multi"), "left").withColumnRenamed("multi", "_m")
+    sets = sets.join(own, (F.col("doc_id") == F.col("multi")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
+    sets = sets.where("_m IS NULL OR own IS NOT NULL").select(F.coalesce("own", "doc_id").alias("rep"), "n", "sig", "map", "sh")
+    sets = scratch.table(sets, "sets")
     if sets.groupBy("rep").count().where("count > 1").limit(1).count():  # rows that repeat id and text in several tasks
         sets = scratch.table(sets.dropDuplicates(["rep"]), "distinct-sets")
 
