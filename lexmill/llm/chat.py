@@ -10,8 +10,9 @@ Ties: the lower state, then keep or relabel before merge.
 One conversation may hold a third of all turns, so it is cut into segments of ``SEGMENT`` turn numbers. A
 segment is a 4 x 4 matrix of least costs from state to state, and matrices combine by (min, +); levels of
 matrices are combined upwards, the best states at the ends of the segments are
-handed down again, and every segment is then repaired on its own. Turns are ordered by turn, role, text; turns
-of equal number are in one segment.
+handed down again, and every segment is then repaired on its own. Turns are ordered by turn, role, then a hash of
+the text, the text. A segment that equal turn numbers fill beyond ``CROWDED`` rows is cut further, along that order: by number, by
+the role's first bytes, and by ranges of the hash, in which each ``SEGMENT`` copies of a repeated turn count anew.
 
 The repaired sequence is rendered a turn at a time: each row holds the piece of the rendering it adds, so a
 conversation's text is the concatenation of its pieces in order. A turn's texts that look like the
@@ -29,7 +30,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm import bytesops as B
@@ -39,6 +40,7 @@ ROLES = ("system", "user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "customer": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "chatgpt": "assistant", "agent": "assistant", "developer": "system"}
 MERGE, RELABEL, UNKNOWN, INSERT = 1.0, 3.0, 1.5, 2.0
 SEGMENT = 256
+CROWDED = 4 * SEGMENT
 #: states: 0 nothing yet, else the last turn's role
 LEGAL = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 ACCEPT = (0, 3)
@@ -266,6 +268,36 @@ def _turns(batches):
     yield from _emit(rows(), _TURNS)
 
 
+def _place_of(copy) -> Column:
+    """31 bits that order turns of equal number and role: of the text, and of which ``SEGMENT`` of its copies a turn is in."""
+    return F.shiftrightunsigned(F.xxhash64("text", copy), 33).cast("int")
+
+
+def _cut(base: DataFrame, crowded: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``base`` with crowded segments cut further (g is then a finer number), and into how many parts a segment may be cut.
+
+    Equal turns are counted before they are dealt out, so no task meets all copies.
+    """
+    names = base.columns
+    calm = base.join(crowded, ["conv", "g"], "left_anti").select(*names)
+    full = base.join(crowded, ["conv", "g"], "left_semi").drop("h")
+    full = full.groupBy(*full.columns).agg((F.count("*") - 1).alias("more")).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), "more")))
+    full = full.withColumns({
+        "h": _place_of(F.floor(F.col("copy") / SEGMENT)),
+        "at": F.col("place") - F.col("g") * SEGMENT,
+        "head": F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.col("role").cast("binary"), 1, 2)), 4, "0"), 16, 10).cast("int"), F.lit(-1)),
+    })
+    keys = ["conv", "g", "at", "head"]
+    found = full.groupBy(*keys).agg(F.count("*").alias("n"), F.min("role").eqNullSafe(F.max("role")).alias("one"))
+    found = found.withColumn("cells", F.when(F.col("one"), F.ceil(F.col("n") / SEGMENT)).otherwise(1).cast("long"))
+    before = F.sum("cells").over(Window.partitionBy("conv", "g").orderBy("at", "head").rowsBetween(Window.unboundedPreceding, -1))
+    found = scratch.table(found.withColumn("before", F.coalesce(before, F.lit(0).cast("long"))).select(*keys, "cells", "before"), "cells")
+    parts = found.groupBy("conv", "g").agg(F.sum("cells").alias("n")).agg(F.max("n")).first()[0]
+    part = F.col("before") + F.floor(F.col("h") * F.col("cells") / F.lit(1 << 31)).cast("long")
+    full = full.join(found, keys).withColumn("g", F.col("g") * parts + part)
+    return calm.withColumn("g", F.col("g") * parts).unionByName(full.select(*names)), parts
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """One row for each turn: conv_id, turn, role, action (keep, merge, relabel), new_role, inserted (roles of empty turns before it; ``after:`` at the conversation's end), cost, rendered.
 
@@ -280,16 +312,20 @@ def format_chats(turns: DataFrame) -> DataFrame:
     lo, hi = (ends.lo or 0), (ends.hi or 0)
     place = F.coalesce(F.col("turn") - F.lit(lo), F.lit(hi - lo + 1))
     conv = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
-    base = base.withColumns({"conv": conv, "place": place, "g": F.floor(place / SEGMENT).cast("long"), "label": label.cast("int")})
+    base = base.withColumns({"conv": conv, "place": place, "g": F.floor(place / SEGMENT).cast("long"), "label": label.cast("int"), "h": _place_of(F.lit(0))})
+    crowded = scratch.table(base.groupBy("conv", "g").count().where(F.col("count") > CROWDED).select("conv", "g"), "crowded")
+    parts = 1
+    if not crowded.isEmpty():
+        base, parts = _cut(base, crowded, scratch)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
         return df.repartition(partitions, *keys).sortWithinPartitions(*keys, *order)
 
-    order = ["place", "role", "text"]
+    order = ["place", "role", "h", "text"]
     level = "conv string, g long, m array<double>"
     levels = [scratch.table(dealt(base.select("conv", "g", "label", *order), ["conv", "g"], order).mapInArrow(_segments, level), "segments")]
-    width = (hi - lo + 1) // SEGMENT + 1
+    width = ((hi - lo + 1) // SEGMENT + 1) * parts
     while width > 1:
         up = levels[-1].withColumn("up", F.floor(F.col("g") / SEGMENT).cast("long"))
         levels.append(scratch.table(dealt(up, ["conv", "up"], ["g"]).mapInArrow(_upwards, level), "level"))

@@ -83,3 +83,14 @@ def test_clean_conversations_stay(spark):
 def test_empty_and_extra_columns(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string, label int, g int")
     assert chat.format_chats(df).collect() == []
+
+
+def test_crowded_turns_are_cut_and_still_of_least_cost(spark, monkeypatch):
+    """A third of all turns in one conversation at one number, many of them copies; other numbers and roles beside them."""
+    monkeypatch.setattr(chat, "SEGMENT", 4)
+    monkeypatch.setattr(chat, "CROWDED", 8)
+    r = random.Random(9)
+    turns = [(1, 3, r.choice(["user", "assistant", "user", "us", None, "tool"]), r.choice(["same", f"t{k}", None])) for k in range(120)]
+    turns += [(1, n, r.choice(["system", "user", "gpt"]), f"x{n}") for n in (0, 1, 2, 4, 5, 9, 30)]
+    turns += [(None, None, "user", "alone")] * 40 + [(c, n, r.choice(chat.ROLES), f"y{n}") for c in range(2, 9) for n in range(6)]
+    check(spark, turns)
