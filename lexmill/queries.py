@@ -232,6 +232,43 @@ query("skip_commits", skip_sql(r"\b[0-9a-fA-F]{7,}\b", "documents", "doc_id", "t
 for _n, _t, _k, _c in (("uuid", "pages", "page_id", "html"), ("hex", "pages", "page_id", "html"), ("base64-line", "documents", "doc_id", "text"), ("hash", "documents", "doc_id", "text"), ("sha", "documents", "doc_id", "text"), ("unicode", "documents", "doc_id", "text"), ("binary", "documents", "doc_id", "text"), ("octal", "documents", "doc_id", "text"), ("certificate", "documents", "doc_id", "text"), ("ssh-rsa", "documents", "doc_id", "text"), ("commit-link", "documents", "doc_id", "text"), ("base64-lines", "documents", "doc_id", "text")):
     query(f"skip_{_n.replace('-', '_')}")(_skip(_n, _t, _k, _c))
 
+#: texts that hold what the patterns skip, or nearly, with the (kind, bytes before, bytes) that each pattern must find
+_PLANTED = [
+    ("see https://a.org/x?y=1#zed now", [("url", 4, 23)]),
+    ("to é a.b-c@d.example.org, or @home", [("email", 6, 19)]),
+    ("-----BEGIN CERTIFICATE-----\nMIIB+/=\n-----END CERTIFICATE-----", [("certificate", 0, 61)]),
+    ("key ssh-rsa AAAAB3NzaC1ycEAAAADAQABAAABgQ== me", [("ssh-rsa", 4, 39)]),
+    ("fix [0a1b2c3d] and [zz]", [("commit-link", 4, 10), ("commit", 5, 8)]),
+    ("at 0xDEAD_beef! not x0xAB", [("hex", 3, 11)]),
+    ("a #a1b2c3; b #fff c #zzz d #ab", [("colour", 2, 7), ("colour", 13, 4)]),
+    ("sha1-abcdefghijklmnopqrstuvwxyz= and sha1-short", [("sha", 0, 32), ("hash", 0, 32)]),
+    ("md5:abcdefghijklmnopqrstuvwxyz-% md5 alone", [("hash", 0, 32)]),
+    ("U+1F60A-1F64F u+12", [("unicode", 0, 13)]),
+    ("0b1010_1 b0b1 0b2", [("binary", 0, 8)]),
+    ("0o17_7 0o8 x0o1", [("octal", 0, 6)]),
+    ("sum 0a1b2c3d4e5f. abcdefa 12345 x1234567", [("commit", 4, 12)]),
+    ("id 123e4567-e89b-12d3-a456-42661417400x;", [("uuid", 3, 36), ("commit", 3, 8), ("scientific", 3, 8)]),
+    ("1.5e10 2E-3 e5 x1e5 3e", [("scientific", 0, 6), ("scientific", 7, 4)]),
+    ("b64 QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVphYmNkZWZnaGlqa2xt= x", [("base64-line", 4, 53)]),
+    ("plain words only, with no such thing", []),
+]
+_PLANTED_SQL = "[" + ", ".join(q(t) for t, _ in _PLANTED) + "]"
+_PLACES_SQL = ", ".join(f"({i}, {q(k)}, {a}, {n})" for i, (_, hits) in enumerate(_PLANTED) for k, a, n in hits)
+
+
+@query("skip_planted", f"""WITH v AS (SELECT * FROM (VALUES {_PLACES_SQL}) AS t(i, kind, a, n))
+SELECT p_partkey, kind, CAST(strlen(p_name) + 1 + a AS BIGINT) AS start, CAST(strlen(p_name) + 1 + a + n AS BIGINT) AS "end" FROM part JOIN v ON p_partkey % {len(_PLANTED)} = i""")
+def skip_planted(spark, sf):
+    """All skip patterns on all parts' names, each with a planted text behind it."""
+    text = F.concat("p_name", F.lit(" "), F.element_at(F.array(*(F.lit(t) for t, _ in _PLANTED)), (1 + F.col("p_partkey") % len(_PLANTED)).cast("int")))
+    docs = table(spark, sf, "part").select("p_partkey", text.alias("text"))
+    out = None
+    for kind, pattern in ranges.SKIP.items():
+        one = ranges.pattern_ranges(docs, {kind: pattern}, "r").select("p_partkey", F.lit(kind).alias("kind"), F.explode("r").alias("x"))
+        out = one if out is None else out.unionByName(one)
+    return out.select("p_partkey", "kind", F.col("x.s").alias("start"), F.col("x.e").alias("end"))
+
+
 _RANGE_PATTERNS = {"tag": ([], "<[^>]*>"), "href": ([], 'href="[^"]*"'), "amp": ([], "&[a-z]+;")}
 _RANGES_SQL = "WITH all_ranges AS (" + " UNION ALL ".join(f"SELECT page_id, start AS s, \"end\" AS e FROM ({skip_sql(p, 'pages', 'page_id', 'html')})" for _, p in _RANGE_PATTERNS.values()) + """),
 far AS (SELECT *, max(e) OVER (PARTITION BY page_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM all_ranges),
