@@ -53,9 +53,10 @@ def check_files(spark: SparkSession, folder: str, settings: dict, *, compat: boo
     own_settings = {"": settings}
     if nested:
         for path in sorted(files.marker_files(spark, folder, "{" + ",".join(settings_.NAMES) + "}", _depth(spark, folder))):
-            where, _, name = path.rpartition("/")
-            if where != folder.rstrip("/") and where not in own_settings and settings_.find(where, (where,)):
-                own_settings[where] = settings_.with_defaults(settings_.load(settings_.find(where, (where,))))
+            where = path.rpartition("/")[0]
+            if where != folder.rstrip("/") and where not in own_settings and (own := settings_.find(where, (where,))):
+                own_settings[where] = settings_.with_defaults(settings_.load(own))
+                found = found.where(F.col("doc_id") != own)
     place = F.lit("")
     for where in sorted(own_settings, key=len)[1:]:  # the deepest folder wins
         place = F.when(F.col("doc_id").startswith(f"{where}/"), F.lit(where)).otherwise(place)
