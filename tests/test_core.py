@@ -148,17 +148,17 @@ def test_check_of_a_folder(spark, tmp_path, capsys):
         code = cli.main(["check", root, *options], spark)
         return code, capsys.readouterr().out.strip().split("\n")
 
-    code, lines = run("--strict", "--no-default-configuration", "--stats")
-    short = sorted(x.removeprefix(root + "/").partition(" fix:")[0] for x in lines[:-1])
-    assert code == 1 and short == ["a.txt:1:13 - Unknown word (wrongg)", "sub/c.txt:1:7 - Unknown word (alpha)", "sub/c.txt:2:1 - Unknown word (alpha)", "sub/deep/d.txt:1:7 - Unknown word (beta)"]
+    code, lines = run("--strict", "--no-default-configuration", "--stats", "--show-context")
+    short = sorted(x.removeprefix(root + "/") for x in lines[:-1])
+    assert code == 1 and short == ["a.txt:1:13 - Unknown word (wrongg) -- alpha plain wrongg", "sub/c.txt:1:7 - Unknown word (alpha) -- inner alpha", "sub/c.txt:2:1 - Unknown word (alpha) -- alpha", "sub/deep/d.txt:1:7 - Unknown word (beta) -- inner beta"]
     assert lines[-1].endswith("3 with issues, 4 issues")
-    (tmp_path / "d.diff").write_text("diff --git a/sub/c.txt b/sub/c.txt\n--- a/sub/c.txt\n+++ b/sub/c.txt\n@@ -1 +1,2 @@\n inner alpha\n+alpha\n")
-    (tmp_path / "list").write_text(f"{root}/sub/c.txt\n\n{root}/a.txt\n")
-    found = __import__("json").loads("".join(run("--format", "json", "--unique", "--file-list", str(tmp_path / "list"))[1]))
-    assert found["summary"] == {"files_with_issues": 2, "total_issues": 2} and [f["path"].removeprefix(root) for f in found["files"]] == ["/a.txt", "/sub/c.txt"]
+    (tmp_path / "d.diff").write_text("diff --git a/sub/c.txt b/sub/c.txt\n--- a/sub/c.txt\n+++ b/sub/c.txt\n@@ -0,0 +1 @@\n+inner alpha\n")
+    (tmp_path / "list").write_text(f"{root}/sub/c.txt\n\n{root}/a.txt\n{root}/b.md\n")
     cache = str(tmp_path / "cache")
-    assert run("--no-gitignore", "--diff", str(tmp_path / "d.diff"), "--show-context", "--cache", cache)[1] == [f"{root}/sub/c.txt:2:1 - Unknown word (alpha) -- alpha"]
-    assert {r.path for r in spark.read.parquet(cache).collect()} >= {f"{root}/b.md"}
+    options = ["--config", f"{root}/cspell.json", "--format", "json", "--unique", "--file-list", str(tmp_path / "list"), "--diff", str(tmp_path / "d.diff"), "--cache", cache]
+    found = __import__("json").loads("".join(run(*options)[1]))
+    assert found["summary"] == {"files_with_issues": 1, "total_issues": 1} and [(f["path"].removeprefix(root), f["issues"][0]["word"]) for f in found["files"]] == [("/sub/c.txt", "inner")]
+    assert f"{root}/b.md" in {r.path for r in spark.read.parquet(cache).collect()}
 
 
 def test_selection_of_files(spark, tmp_path):
