@@ -300,3 +300,19 @@ def test_queries_over_all_rows(spark, tmp_path):
         return "\n".join(lines) + ("\n" if t.endswith("\n") else "")
 
     assert dict(run("disable_lines_all")) == {k: None if t is None else hashlib.md5(disabled(t).encode()).hexdigest() for k, t in enumerate(texts)}
+
+
+def test_plain_words_skip_the_search_for_breaks(monkeypatch):
+    from lexmill.operators.dictionary import lexicons
+
+    make = lambda: Checker(lexicons([("d", "word", w, None) for w in ("good", "here", "ame", "mple")], [Options("d")]), Config())
+    words = ["good", "wrng", "Wrng", "é", "naïve", "\\nGood", "\\name", "name", "goodHere", "aaaaa", "eeee", "exa\\mple", "ABCing", "wrng.", "x1", "here's", "Éé́t"]
+    texts = [" ".join(words[(i * k) % len(words)] for k in range(1, 12)) for i in range(40)]
+    texts += ["cspell:words wrng\n" + t + "\ncspell:forbid name\n" + t + "\ncspell:enableCompoundWords\n" + t for t in texts]
+    fast = [compat.check_text(t, make()) for t in texts]
+    monkeypatch.setattr(Checker, "plain_kind", lambda self, word, state: "")
+    monkeypatch.setattr(compat, "plain", lambda word: False)
+    assert fast == [compat.check_text(t, make()) for t in texts]
+    monkeypatch.undo()
+    monkeypatch.setattr(compat, "split", lambda *a: pytest.fail("searched"))
+    assert [i[0] for i in compat.check_text("wrng good Trble", make())] == ["wrng", "Trble"]
