@@ -316,3 +316,17 @@ def test_plain_words_skip_the_search_for_breaks(monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(compat, "split", lambda *a: pytest.fail("searched"))
     assert [i[0] for i in compat.check_text("wrng good Trble", make())] == ["wrng", "Trble"]
+
+
+def test_places_hold_however_paths_are_read_again(spark):
+    from lexmill import queries
+
+    own = spark.range(0, 60_000, 1, 7).select(F.concat(F.md5(F.col("id").cast("string")), F.lit("-./_\\Ab")).alias("path"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = [r.path for r in sorted(queries._places(own).collect(), key=lambda r: r.place)]
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert got == sorted(got) and len(set(got)) == 60_000
+    assert queries._places(own.where("false")).count() == 0
+    assert [r.place for r in queries._places(own.limit(1)).collect()] == [1]
