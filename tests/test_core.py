@@ -370,3 +370,14 @@ def test_issues_of_repeated_ids_and_without_windows(spark, tmp_path):
     for name in ("dup_capped", "file_capped", "report_text", "report_github"):
         plan = queries.QUERIES[name](spark, str(own))._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan and "Join" not in plan, name
+
+
+def test_words_outside_ranges_of_many_ranges(spark):
+    from lexmill.operators import scan
+
+    texts = ["<a>bé</a> c &amp; <é>d" * 200, "", None, "no tags É", "<x>", "a<b" * 3]
+    docs = ranges.pattern_ranges(spark.createDataFrame(list(enumerate(texts)), "page_id long, text string").coalesce(1), {"tag": ([], "<[^>]*>"), "amp": ([], "&[a-z]+;")})
+    found = tokens.matches(docs, "text", chars.JAVA_WORDS, "at", "word").where(~ranges.inside("ranges", "at"))
+    want = sorted(map(tuple, found.groupBy("page_id", "word").agg(F.count("*").alias("n")).collect()))
+    got = scan.words_outside(docs, "page_id")
+    assert sorted(map(tuple, got.collect())) == want and ("Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString())
