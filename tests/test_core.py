@@ -381,3 +381,21 @@ def test_words_outside_ranges_of_many_ranges(spark):
     want = sorted(map(tuple, found.groupBy("page_id", "word").agg(F.count("*").alias("n")).collect()))
     got = scan.words_outside(docs, "page_id")
     assert sorted(map(tuple, got.collect())) == want and ("Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_words_are_looked_up_at_once_as_one_by_one(spark):
+    """Only words that Arrow may fold otherwise than Python pass through Python."""
+    import unicodedata
+
+    import pyarrow as pa
+
+    from lexmill.operators import scan
+
+    asked = ["Plain", "plain", "ÉTÉ", "été", "Été", "İx", "ΣΑΣ", "don’t", "DON'T", "a\\'b", "Ǆ", "ſs", "straße", "Straẞe", "wrong", "ŉ", "Ａ"]
+    held = [("d", "word", w, None) for w in ("plain", "été", "i̇x", "σας", "don't", "a'b", "ǆ", "straße", "ａ")] + [("d", "exact", "Plain", None), ("d", "non_strict", "ſs", None)]
+    same, low = {k for _, kind, k, _ in held if kind != "non_strict"}, {k for _, kind, k, _ in held if kind != "exact"}
+    forms = {w: {unicodedata.normalize("NFC", x) for x in (w, w.replace("’", "'"), w.replace("\\", ""))} for w in asked}
+    want = [any(x in same or x.lower() in low for x in forms[w]) for w in asked]
+    assert scan.Known(spark, held).mask(pa.array(asked)).tolist() == want and True in want and False in want
+    small, plain = scan.lowered(pa.array(asked))
+    assert small.to_pylist() == [w.lower() for w in asked] and 0 < plain.sum() < len(asked)
