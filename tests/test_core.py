@@ -399,3 +399,33 @@ def test_words_are_looked_up_at_once_as_one_by_one(spark):
     assert scan.Known(spark, held).mask(pa.array(asked)).tolist() == want and True in want and False in want
     small, plain = scan.lowered(pa.array(asked))
     assert small.to_pylist() == [w.lower() for w in asked] and 0 < plain.sum() < len(asked)
+
+
+def test_blocks_equal_the_check_by_joins(spark, monkeypatch):
+    """Skip ranges, code tokens, line states, directive typos and caps, beside a broadcast dictionary and a larger one."""
+    from lexmill import queries
+    from lexmill.plans import native
+
+    planted = [t for t, _ in queries._PLANTED]
+    dense = "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVphYmNkZWZn0aG"
+    texts = [
+        *planted, *(f"wrng {t}\n{u} wrng" for t, u in zip(planted, reversed(planted), strict=True)), *(f"{a}\nwrng Omega omega x_wrng delta\n{b}\n\nwrng alpha\nBeta" for a in queries._INJECT for b in queries._INJECT[::4]),
+        "\n".join([dense] * 3) + " wrng", "\r\n".join([dense] * 3) + " wrng", "\r".join([dense] * 3) + "\rwrng", "# cspell:disable-next-line\r\n \r\nwrng wrngs\r\nwrng\r", "# cspell:disable-next-line\ncspell:disable-next\n\nwrng\nwrngs",
+        "rock-'wrng 9'wrng wrng-9 _'wrng wrng wrng_9a x-wrng'wrngs 'wrng'", "gOod goodWrng GOODS GOOds goodWRNGs İwrng Éwrng ÉWRNG ǅwrng aaaa Aaaa éééé Ééé", "\\nwrng \\good \\'wrng wrng\\'s 中wrng文 wr̀ng wr̀̀ng", "cspell:enabel\nwrng", " ".join(f"wrng{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}" for k in range(60)), "httpſ://a wrng",
+    ]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(9000, None), (9001, "")], "doc_id long, text string").repartition(2)
+    entries = rows(spark, ["good", "alpha", "beta"]).unionByName(rows(spark, ["plain"], "forbidden")).unionByName(rows(spark, ["words"], "no_suggest")).unionByName(rows(spark, ["wrngs"], name="fr"))
+    options = [Options("d"), Options("fr", active=False)]
+
+    def checked(c, own=docs):
+        return sorted(map(str, native.check_native(own, entries, options, c).collect()))
+
+    configs = [Config(max_problems=20), Config(ignore_patterns=["^wrng[a-c]"], include_patterns=["wrng[^\n]*"], late_ignore_patterns=["omega"])]
+    got = [checked(c) for c in configs]
+    assert len(got[0]) > 200 and got[0] != got[1]
+    plan = native.check_native(docs, entries, options, configs[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    monkeypatch.setattr(native, "BROADCAST_ROWS", 0)
+    for a, c in zip(got, configs, strict=True):
+        want = checked(c)
+        assert sorted(set(a) - set(want)) == sorted(set(want) - set(a)) == [] and a == want
