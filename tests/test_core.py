@@ -429,3 +429,32 @@ def test_blocks_equal_the_check_by_joins(spark, monkeypatch):
     for a, c in zip(got, configs, strict=True):
         want = checked(c)
         assert sorted(set(a) - set(want)) == sorted(set(want) - set(a)) == [] and a == want
+
+
+def _unlike(spark):
+    """Documents in several blocks, with odd words, words that differ by case, and one without an id; and a dictionary."""
+    from lexmill.operators import scan
+
+    bits = ["wrng", "Wrng", "WRNG", "Ünder", "ünder", "İstan", "i̇stan", "ΑΣΑΣ", "ασας", "it’s", "it's", "good", "Kelvin", "Kelvin", "a\\'bcd", "\n"]
+    docs = [(k if k != 7 else None, " ".join(bits[(k * 7 + i * (1 + k % 5)) % len(bits)] for i in range(k % 60)) if k % 11 else None) for k in range(200)]
+    known = scan.Known(spark, [("d", "word", "good", None)])
+    return spark.createDataFrame(docs, "doc_id long, text string").repartition(7), known
+
+
+def _same(a, b):
+    return sorted(map(repr, map(tuple, a.collect()))) == sorted(map(repr, map(tuple, b.collect())))
+
+
+def _rows(docs, known):
+    from lexmill.operators import scan
+
+    return scan.issues(docs, known, 5, "doc_id").withColumns({"path": F.col("doc_id").cast("string"), "suggestions": F.array().cast("array<string>"), "is_forbidden": F.lit(False)})
+
+
+def test_issues_are_capped_in_their_document(spark):
+    from lexmill.operators import reports, scan
+
+    docs, known = _unlike(spark)
+    docs = docs.where("doc_id IS NOT NULL")
+    few = reports.capped_by_file(_rows(docs, known), 20).drop("path", "suggestions", "is_forbidden", "place")
+    assert _same(scan.issues(docs, known, 5, "doc_id", few=20).drop("place"), few)
