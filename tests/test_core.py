@@ -458,3 +458,12 @@ def test_issues_are_capped_in_their_document(spark):
     docs = docs.where("doc_id IS NOT NULL")
     few = reports.capped_by_file(_rows(docs, known), 20).drop("path", "suggestions", "is_forbidden", "place")
     assert _same(scan.issues(docs, known, 5, "doc_id", few=20).drop("place"), few)
+
+
+def test_issues_counted_by_blocks_equal_those_that_meet(spark):
+    from lexmill.operators import reports, scan
+
+    docs, known = _unlike(spark)
+    rows, columns = _rows(docs, known), ["path", "line", "column", "word"]
+    assert _same(reports.occurrences_of(scan.first_issues(docs, known, 5, "doc_id", folded=True)), reports.occurrences(rows))
+    assert _same(reports.first_of_each(scan.first_issues(docs, known, 5, "doc_id", folded=False).select(columns)), reports.first_of_each(rows.select(columns)))
