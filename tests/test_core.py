@@ -467,3 +467,10 @@ def test_issues_counted_by_blocks_equal_those_that_meet(spark):
     rows, columns = _rows(docs, known), ["path", "line", "column", "word"]
     assert _same(reports.occurrences_of(scan.first_issues(docs, known, 5, "doc_id", folded=True)), reports.occurrences(rows))
     assert _same(reports.first_of_each(scan.first_issues(docs, known, 5, "doc_id", folded=False).select(columns)), reports.first_of_each(rows.select(columns)))
+
+
+def test_counts_of_issues_by_blocks_equal_their_summary(spark):
+    from lexmill.operators import reports, scan
+
+    docs, known = _unlike(spark)
+    assert _same(scan.issue_counts(docs, known, 5, "doc_id").agg(F.sum("files"), F.sum("n")), reports.summary(_rows(docs, known)))
