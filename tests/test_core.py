@@ -474,3 +474,13 @@ def test_counts_of_issues_by_blocks_equal_their_summary(spark):
 
     docs, known = _unlike(spark)
     assert _same(scan.issue_counts(docs, known, 5, "doc_id").agg(F.sum("files"), F.sum("n")), reports.summary(_rows(docs, known)))
+
+
+def test_lists_of_issues_equal_those_that_meet(spark):
+    from lexmill.operators import reports, scan
+
+    docs, known = _unlike(spark)
+    docs = docs.where("doc_id IS NOT NULL")
+    listed = reports.json_lines(scan.issue_lists(docs, known, 5, "doc_id"))
+    assert _same(listed, reports.json_files(_rows(docs, known)))
+    assert "Aggregate" not in listed._jdf.queryExecution().optimizedPlan().toString()
