@@ -484,3 +484,15 @@ def test_lists_of_issues_equal_those_that_meet(spark):
     listed = reports.json_lines(scan.issue_lists(docs, known, 5, "doc_id"))
     assert _same(listed, reports.json_files(_rows(docs, known)))
     assert "Aggregate" not in listed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_of_a_diff_are_chosen_before_their_texts_are_taken_apart(spark, tmp_path):
+    from lexmill import queries
+
+    spark.createDataFrame([(k, f"wrng {k}\nwrngs good wrng") for k in range(50)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "good its")], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    plan = lambda name: queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    filtered = plan("diff_filter")
+    assert filtered.count("LeftSemi") == 2 and filtered.index("LeftSemi") < filtered.index("MapInArrow") < filtered.rindex("LeftSemi")
+    got = queries.diff_filter(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("0", 2, "wrng", 12), ("0", 2, "wrngs", 1), ("1", 1, "wrng", 1), ("1", 2, "wrng", 12), ("1", 2, "wrngs", 1)]
