@@ -496,3 +496,12 @@ def test_files_of_a_diff_are_chosen_before_their_texts_are_taken_apart(spark, tm
     assert filtered.count("LeftSemi") == 2 and filtered.index("LeftSemi") < filtered.index("MapInArrow") < filtered.rindex("LeftSemi")
     got = queries.diff_filter(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [("0", 2, "wrng", 12), ("0", 2, "wrngs", 1), ("1", 1, "wrng", 1), ("1", 2, "wrng", 12), ("1", 2, "wrngs", 1)]
+
+
+def test_words_counted_by_blocks_equal_those_that_meet(spark):
+    from lexmill.operators import scan
+
+    docs, _ = _unlike(spark)
+    blocks = scan.words_counted(docs, "doc_id").groupBy("word").agg(F.sum("n"), F.sum("texts"))
+    assert {tuple(r) for r in blocks.collect()} == {tuple(r) for r in scan.words(docs, "doc_id").groupBy("word").agg(F.sum("n"), F.count("doc_id")).collect()}
+    assert scan.words_counted(docs, "doc_id").count() < scan.words(docs, "doc_id").count() / 5
