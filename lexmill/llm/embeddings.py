@@ -96,22 +96,39 @@ def filters(x: np.ndarray, size: int, number: int, threshold: float, least: int)
     for c in blocks:
         scores.append(y[:, lo : lo + c.shape[1]] @ c.T)
         lo += c.shape[1]
-    out = []
-    for i in range(len(x)):
-        a = scores[0][i]
-        b = scores[1][i] if len(scores) > 1 else np.zeros(1)
-        t = threshold * np.sqrt(len(scores))
-        enough = min(least, len(a) * len(b))
-        while True:
-            p, q = np.flatnonzero(a >= t - b.max()), np.flatnonzero(b >= t - a.max())
-            k, j = np.nonzero(a[p][:, None] + b[q][None, :] >= t)
-            if len(k) >= enough:
-                break
-            t -= 0.05
-        out.append(p[k].astype(np.int64) * len(b) + q[j])
+    a, b = scores[0], scores[1] if len(scores) > 1 else np.zeros((len(x), 1))
+    top_a, top_b, enough = a.max(1), b.max(1), min(least, a.shape[1] * b.shape[1])
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(x)
+    t, rows = threshold * np.sqrt(len(scores)), np.arange(len(x))
+    while len(rows):  # those that still have too few
+        whole = len(rows) == len(x)
+        own = a if whole else a[rows], b if whole else b[rows]
+        (of_p, p), (of_q, q) = (np.nonzero(s >= (t - top[rows])[:, None]) for s, top in zip(own, (top_b, top_a), strict=True))
+        at_p, at_q = (np.searchsorted(of, np.arange(len(rows) + 1)) for of in (of_p, of_q))
+        pairs = np.diff(at_p) * np.diff(at_q)
+        few = []
+        for lo, hi in _pieces(pairs):
+            k = np.repeat(np.arange(at_p[lo], at_p[hi]), np.diff(at_q)[of_p[at_p[lo] : at_p[hi]]])
+            row = of_p[k]
+            j = np.arange(len(k)) - np.repeat(np.cumsum(pairs[lo:hi]) - pairs[lo:hi], pairs[lo:hi])
+            j = at_q[row] + j % np.diff(at_q)[row]
+            hit = own[0][row, p[k]] + own[1][row, q[j]] >= t
+            found = p[k[hit]].astype(np.int64) * b.shape[1] + q[j[hit]]
+            cuts = np.searchsorted(row[hit], np.arange(lo, hi + 1))
+            for i in range(lo, hi):
+                out[rows[i]] = found[cuts[i - lo] : cuts[i - lo + 1]]
+            few.append(rows[lo:hi][np.diff(cuts) < enough])
+        rows, t = np.concatenate(few), t - 0.05
     return out
 
 
+def _pieces(sizes: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """(begin, end) of runs of rows whose sizes add up to about ``most``, or of one row that is larger."""
+    group = (np.cumsum(sizes) - sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 def _threshold(dim: int, count: int) -> float:
     return NormalDist().inv_cdf(1 - 1 / count) / np.sqrt(dim)
 
@@ -225,20 +242,28 @@ def _settle(cosine: float):
 def _compare(cosine: float):
     """Links between the members of two cells, block by block; rows come sorted by (a, b, i, j)."""
 
-    def links(t: pa.Table):
-        side = t.column("side").to_numpy()
-        if side.min() == side.max():
-            return None
-        dim = int(t.column("dim")[0].as_py())
-        x = _matrix(t.column("unit"), dim)
-        uid, mult = t.column("uid").to_numpy(), t.column("mult").to_numpy()
-        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        hit = x[p] @ x[q].T >= cosine
-        n = np.zeros(len(uid), np.int64)
-        n[p], n[q] = hit @ mult[q], mult[p] @ hit
-        some = np.flatnonzero(n)
-        a, b = (np.repeat(t.column(c)[0].as_py(), len(some)) for c in "ab")
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(uid[some]), pa.array(n[some])], names=["a", "b", "uid", "n"])
+    def links(t: pa.Table, cuts: list[int]):
+        col = {c: t.column(c).to_numpy() for c in ("a", "b", "side", "uid", "mult", "dim")}
+        unit = t.column("unit").combine_chunks().cast(pa.large_binary())
+        at = np.frombuffer(unit.buffers()[1], np.int64)[unit.offset : unit.offset + len(unit) + 1]
+        data = np.frombuffer(unit.buffers()[2], np.uint8)
+        rows, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            side, mult = col["side"][lo:hi], col["mult"][lo:hi]
+            p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(p) or not len(q):
+                continue
+            x = data[at[lo] : at[hi]].view(np.float64).reshape(-1, int(col["dim"][lo]))
+            hit = x[p] @ x[q].T >= cosine
+            if not hit.any():
+                continue
+            n = np.zeros(hi - lo, np.int64)
+            n[p], n[q] = hit @ mult[q], mult[p] @ hit
+            some = np.flatnonzero(n)
+            rows.append(some + lo)
+            counts.append(n[some])
+        take = np.concatenate(rows)
+        return pa.RecordBatch.from_arrays([*(pa.array(col[c][take], pa.int64()) for c in ("a", "b", "uid")), pa.array(np.concatenate(counts))], names=["a", "b", "uid", "n"])
 
     @B.lean
     def run(batches):
@@ -248,12 +273,11 @@ def _compare(cosine: float):
             t = pa.concat_tables([held, t]) if held is not None else t
             key = [t.column(c).to_numpy() for c in ("a", "b", "i", "j")]
             cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1).tolist()]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if (got := links(t.slice(lo, hi - lo))) is not None:
-                    yield got
+            if len(cuts) > 1:
+                yield links(t.slice(0, cuts[-1]), cuts)
             held = t.slice(cuts[-1]).combine_chunks() if t.num_rows else None
-        if held is not None and held.num_rows and (got := links(held)) is not None:
-            yield got
+        if held is not None and held.num_rows:
+            yield links(held, [0, held.num_rows])
 
     return run
 

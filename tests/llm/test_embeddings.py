@@ -79,3 +79,41 @@ def test_isolated_pairs_of_a_large_table(spark, monkeypatch):
         rows += [x, cosine * x + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z)]
     rows = [(i, v.tolist()) for i, v in enumerate(rows)]
     assert found(spark, rows) == {i: (1, i - i % 2) for i, _ in rows}
+
+
+def test_kernels_take_many_vectors_and_groups_at_once():
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    for dim, least in ((12, 4), (3, 4), (1, 4), (16, 40)):
+        x = r.standard_normal((300, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        size, threshold = 60, embeddings._threshold(dim, 4096)
+        turn, blocks = embeddings.code(dim, size, 2)
+        cut = np.cumsum([0, *(c.shape[1] for c in blocks)])
+        parts = [(x @ turn)[:, lo:hi] @ c.T for lo, hi, c in zip(cut, cut[1:], blocks, strict=False)]
+        for i, found in enumerate(embeddings.filters(x, size, 2, threshold, least)):
+            sums = (parts[0][i][:, None] + (parts[1][i] if len(parts) > 1 else np.zeros(1))[None, :]).ravel()
+            t = threshold * np.sqrt(len(parts))
+            while (sums >= t).sum() < min(least, len(sums)):
+                t -= 0.05
+            assert found.tolist() == np.flatnonzero(sums >= t).tolist()
+    assert embeddings._pieces(np.array([1, 5, 0, 9, 1]), 4) == [(0, 2), (2, 4), (4, 5)]
+
+    rows = []
+    for g in range(40):  # groups of two sides, some of one side only, of vectors of two lengths
+        base = r.standard_normal(3 + g % 2)
+        for u in range(g % 7 + 1):
+            v = base + 0.3 * r.standard_normal(len(base))
+            rows.append((g // 8, g, g % 3, 0, u % 2 if g % 5 else 0, 100 * g + u, 1 + u % 3, len(v), (v / np.linalg.norm(v)).tobytes()))
+    rows.sort(key=lambda x: x[:4])
+    table = pa.table({c: pa.array(v, k) for c, v, k in zip(("a", "b", "i", "j", "side", "uid", "mult", "dim", "unit"), zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)})
+    batches = table.to_batches(max_chunksize=11)
+    got = list(embeddings._compare(0.9)(iter(batches)))
+    want = []
+    for x in rows:
+        far = [y for y in rows if y[:4] == x[:4] and y[4] != x[4]]
+        n = sum(y[6] for y in far if np.frombuffer(x[8]) @ np.frombuffer(y[8]) >= 0.9)
+        want += [(x[0], x[1], x[5], n)] if n else []
+    assert sorted(tuple(y.values()) for b in got for y in b.to_pylist()) == sorted(want) and want
+    assert len(got) <= len(batches) + 1
